@@ -15,7 +15,7 @@ Null or empty html gives no rows; repeated records give equal rows each.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, md5
 
 import pandas as pd
@@ -81,7 +81,7 @@ def mask(norm: str, brand: str) -> str:
 class Body:
     """Lines inside the container of a page, with what is known of each from the page alone."""
 
-    __slots__ = ("page", "container", "lines", "norms", "kinds", "masks", "prose", "heading", "brand")
+    __slots__ = ("page", "container", "lines", "norms", "kinds", "masks", "prose", "heading", "brand", "attr_words")
 
 
 def _excluded(page: dom.Page, has_h1: list[bool]) -> list[bool]:
@@ -225,6 +225,7 @@ def segment(page: dom.Page) -> Body:
         body.kinds.append(kind)
         body.masks.append(m)
     body.prose = prose
+    body.attr_words = sum(len(t.split()) for node, t in page.titles if inside[node] and not out[node])
     return body
 
 
@@ -339,10 +340,14 @@ def constant_lines(a: Tree, b: Tree) -> set[int]:
 
 #: One row a page.  kind 0: content; 1 and 2: content unless ``mask`` is a template line;
 #: 4: constant by alignment, kept without its text for the counts.
-PAGE_SCHEMA = "fetch_id bigint, heading bigint, prose int, lines array<string>, kinds array<tinyint>, masks array<bigint>"
+#: ``extra`` holds what another operator asked for, one value a line; ``notes`` the same of the page.
+PAGE_SCHEMA = "fetch_id bigint, heading bigint, prose int, lines array<string>, kinds array<tinyint>, masks array<bigint>, extra array<int>, notes int"
 
+#: What a caller may ask of each page: (body, indices of its lines) -> (one int a line, one int).
+Extra = Callable[[Body, list[int]], tuple[list[int], int]]
 
-def _segment_rows(batches: Iterator[pd.DataFrame], hashed: bool) -> Iterator[pd.DataFrame]:
+
+def _segment_rows(batches: Iterator[pd.DataFrame], text: str, extra: Extra | None) -> Iterator[pd.DataFrame]:
     examples: dict[tuple, list] = {}
     for pdf in batches:
         rows = []
@@ -367,10 +372,13 @@ def _segment_rows(batches: Iterator[pd.DataFrame], hashed: bool) -> Iterator[pd.
                         kinds = [4 if j in same else k for j, k in enumerate(kinds)]
             use = [j for j, k in enumerate(kinds) if k != 3]
             texts = [body.norms[j] if kinds[j] != 4 else "" for j in use]
-            if hashed:
+            if text == "none":
+                texts = [""] * len(use)
+            elif text == "hash":
                 texts = [t and md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:16] for t in texts]
-            rows.append((r.fetch_id, body.heading, body.prose, texts, [kinds[j] for j in use], [body.masks[j] for j in use]))
-        yield pd.DataFrame(rows, columns=["fetch_id", "heading", "prose", "lines", "kinds", "masks"])
+            more, notes = extra(body, use) if extra else ([], 0)
+            rows.append((r.fetch_id, body.heading, body.prose, texts, [kinds[j] for j in use], [body.masks[j] for j in use], more, notes))
+        yield pd.DataFrame(rows, columns=["fetch_id", "heading", "prose", "lines", "kinds", "masks", "extra", "notes"])
 
 
 def site_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
@@ -383,9 +391,11 @@ def site_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
     return chosen.groupBy("site", "h").agg(F.first("html").alias("html")).groupBy("site").agg(F.sort_array(F.collect_list("html")).alias("examples"))
 
 
-def page_bodies(fetch: DataFrame, hashed: bool = False, salts: int = 16) -> DataFrame:
+def page_bodies(fetch: DataFrame, text: str = "line", extra: Extra | None = None, salts: int = 16) -> DataFrame:
     """Candidate main-body lines of each record, one row a record (``PAGE_SCHEMA``).
 
+    ``text`` says what stands in ``lines``: the normalised line, its "hash", or "none".
+
     Each page meets the examples of its site in a join on (site, salt), so a site with a
     third of all rows is spread over ``salts`` keys.
     """
@@ -394,7 +404,7 @@ def page_bodies(fetch: DataFrame, hashed: bool = False, salts: int = 16) -> Data
     pages = spread(pages).withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(salts)).cast("int")).join(ex, ["site", "salt"], "left").drop("salt")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return _segment_rows(batches, hashed)
+        return _segment_rows(batches, text, extra)
 
     return pages.mapInPandas(run, PAGE_SCHEMA)
 
@@ -428,6 +438,21 @@ def main_lines(bodies: DataFrame) -> DataFrame:
     return fixed.unionAll(free)
 
 
+def clean_bodies(bodies: DataFrame) -> DataFrame:
+    """Staged ``page_bodies`` with template lines taken out: one row a record with the arrays
+    ``lines`` and ``extra`` of its main body, in page order, and ``notes``.
+
+    Only the masks of lines are exploded; the pages themselves move once.
+    """
+    free = bodies.select("fetch_id", F.explode(F.array_distinct("masks")).alias("mask")).where("mask <> 0")
+    bad = free.join(template_masks(bodies), "mask", "left_semi").groupBy("fetch_id").agg(F.collect_set("mask").alias("bad"))
+    rows = F.arrays_zip("lines", "kinds", "masks", "extra")
+    kept = F.filter(rows, lambda x: (x.kinds != 4) & ~((x.masks != 0) & F.coalesce(F.array_contains("bad", x.masks), F.lit(False))))
+    return bodies.join(bad, "fetch_id", "left").select(
+        "fetch_id", kept.getField("lines").alias("lines"), kept.getField("extra").alias("extra"), "notes"
+    )
+
+
 def main_body(fetch: DataFrame) -> DataFrame:
     """Main body of each record as lines ``(fetch_id, pos, line)``, template and menus removed."""
     return main_lines(staged(page_bodies(fetch), "bodies"))
@@ -435,4 +460,4 @@ def main_body(fetch: DataFrame) -> DataFrame:
 
 def found(fetch: DataFrame) -> DataFrame:
     """Distinct main-body lines of each record as hashes (p7_found)."""
-    return main_lines(staged(page_bodies(fetch, hashed=True), "bodies")).select("fetch_id", F.col("line").alias("line_hash")).distinct()
+    return main_lines(staged(page_bodies(fetch, "hash"), "bodies")).select("fetch_id", F.col("line").alias("line_hash")).distinct()
