@@ -69,10 +69,11 @@ class Page:
     ``tag``, ``parent``, ``attr`` and ``kids`` describe the nodes (0 is the root);
     ``lines`` holds ``(node, text, link_chars, first_link_attr)`` in page order, with
     ``text`` collapsed but in its own case.  ``titles`` are texts of title attributes and
-    alt texts with the node they stand under; ``noscript`` the texts of noscript elements.
+    alt texts with the node they stand under; ``noscript`` the texts of noscript elements;
+    ``code`` the texts inside code samples by node.
     """
 
-    __slots__ = ("tag", "parent", "attr", "kids", "lines", "title", "noscript", "titles", "metas", "code")
+    __slots__ = ("tag", "parent", "attr", "kids", "lines", "title", "noscript", "titles", "code")
 
     def __init__(self) -> None:
         self.tag: list[str] = ["#root"]
@@ -83,8 +84,7 @@ class Page:
         self.title = ""
         self.noscript: list[str] = []
         self.titles: list[tuple[int, str]] = []
-        self.metas: list[str] = []
-        self.code: set[int] = set()
+        self.code: dict[int, list[str]] = {}
 
     def ancestors(self, node: int):
         while node > 0:
@@ -124,14 +124,10 @@ def parse(html: str) -> Page:
                 part = _collapse(part)
                 if part:
                     lines.append((node, part, int(len(part) * min(1.0, share))))
-                    if in_code:
-                        page.code.add(len(lines) - 1)
         else:
             whole = _collapse(whole)
             if whole:
                 lines.append((node, whole, link_chars))
-                if in_code:
-                    page.code.add(len(lines) - 1)
         link_chars = 0
 
     while i < last:
@@ -198,6 +194,8 @@ def parse(html: str) -> Page:
                 buf.append(text)
                 if link:
                     link_chars += len(text)
+                if in_code:
+                    page.code.setdefault(cur, []).append(_collapse(unescape(text)))
             continue
         if name in HIDDEN:
             if not closing and not raw.endswith("/"):
@@ -271,6 +269,8 @@ def parse(html: str) -> Page:
             link = False
         if text:
             buf.append(text)
+            if in_code:
+                page.code.setdefault(cur, []).append(_collapse(unescape(text)))
     if buf:
         flush(cur)
     return page

@@ -438,19 +438,29 @@ def main_lines(bodies: DataFrame) -> DataFrame:
     return fixed.unionAll(free)
 
 
+#: Template lines up to this many are carried in the plan; more are joined.
+FEW_TEMPLATES = 10_000
+
+
 def clean_bodies(bodies: DataFrame) -> DataFrame:
     """Staged ``page_bodies`` with template lines taken out: one row a record with the arrays
     ``lines`` and ``extra`` of its main body, in page order, and ``notes``.
 
-    Only the masks of lines are exploded; the pages themselves move once.
+    A page without main body keeps its row, with empty arrays.  The template lines of a crawl
+    are few (their number is counted, not assumed); beyond ``FEW_TEMPLATES`` only the masks of
+    lines are exploded and joined, and the pages move once.
     """
-    free = bodies.select("fetch_id", F.explode(F.array_distinct("masks")).alias("mask")).where("mask <> 0")
-    bad = free.join(template_masks(bodies), "mask", "left_semi").groupBy("fetch_id").agg(F.collect_set("mask").alias("bad"))
     rows = F.arrays_zip("lines", "kinds", "masks", "extra")
-    kept = F.filter(rows, lambda x: (x.kinds != 4) & ~((x.masks != 0) & F.coalesce(F.array_contains("bad", x.masks), F.lit(False))))
-    return bodies.join(bad, "fetch_id", "left").select(
-        "fetch_id", kept.getField("lines").alias("lines"), kept.getField("extra").alias("extra"), "notes"
-    )
+    templates = template_masks(bodies)
+    few = [r["mask"] for r in templates.limit(FEW_TEMPLATES + 1).collect()]
+    if len(few) <= FEW_TEMPLATES:
+        kept = F.filter(rows, lambda x: (x.kinds != 4) & ~x.masks.isin(few)) if few else F.filter(rows, lambda x: x.kinds != 4)
+    else:
+        free = bodies.select("fetch_id", F.explode(F.array_distinct("masks")).alias("mask")).where("mask <> 0")
+        bad = free.join(templates, "mask", "left_semi").groupBy("fetch_id").agg(F.collect_set("mask").alias("bad"))
+        bodies = bodies.join(bad, "fetch_id", "left")
+        kept = F.filter(rows, lambda x: (x.kinds != 4) & ~((x.masks != 0) & F.coalesce(F.array_contains("bad", x.masks), F.lit(False))))
+    return bodies.select("fetch_id", kept.getField("lines").alias("lines"), kept.getField("extra").alias("extra"), "notes")
 
 
 def main_body(fetch: DataFrame) -> DataFrame:

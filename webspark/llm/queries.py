@@ -21,6 +21,8 @@ def _query(module: str, function: str, *tables: str) -> Callable[[SparkSession,
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": _query("neardup", "found", "fetch_results"),
+    "p1_classes": _query("neardup", "classes", "fetch_results"),
     "p4_found": _query("stuffing", "found", "fetch_results"),
     "p4_labels": _query("stuffing", "labelled_pages", "fetch_results"),
     "p4_links": _query("stuffing", "stuffed_links", "fetch_results", "extracted_links"),
