@@ -136,7 +136,9 @@ def segment(page: dom.Page) -> Body:
         while c > 0 and (total[c] == total[h1] or tag[c] == "header"):
             c = parent[c]
     else:
-        c, best = 0, -1
+        # Without a heading: the article element, else the block of most text that is not
+        # made of links and holds no copyright line; without one there is no main body.
+        c, best = n, 0
         for i in range(1, n):
             if not out[i] and tag[i] in ("main", "article"):
                 c = i
@@ -145,9 +147,12 @@ def segment(page: dom.Page) -> Body:
             for i in page.kids[0]:
                 if not out[i] and total[i]:
                     legal = any(l[1][0] == "©" for l in lines if l[0] >= i and i in page.ancestors(l[0]))
-                    if not legal and plain[i] > best:
+                    size = sum(len(l[1]) for l in lines if l[0] >= i and i in page.ancestors(l[0]))
+                    if not legal and plain[i] > best and plain[i] >= 0.6 * size:
                         c, best = i, plain[i]
-    inside = [False] * n
+            if c == n and own[0]:
+                c = 0
+    inside = [False] * (n + 1)
     inside[c] = True
     for i in range(c + 1, n):
         inside[i] = inside[parent[i]]
@@ -239,11 +244,13 @@ class Tree:
 
     def __init__(self, body: Body) -> None:
         page = body.page
+        if body.container >= len(page.tag):
+            self.tag, self.kids, self.text, self.key, self.size, self.lines = ["#none"], [[]], [()], [0], [1], [()]
+            return
         at: dict[int, list[int]] = {}
         for j, k in enumerate(body.lines):
             at.setdefault(page.lines[k][0], []).append(j)
         self.tag, self.kids, self.text, self.key, self.size, self.lines = [], [], [], [], [], []
-        stack = [(body.container, -1)]
         self._add(page, body, at, body.container)
 
     def _add(self, page: dom.Page, body: Body, at: dict[int, list[int]], node: int, depth: int = 0) -> int:

@@ -23,11 +23,16 @@ def _query(module: str, function: str, *tables: str) -> Callable[[SparkSession,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _query("neardup", "found", "fetch_results"),
     "p1_classes": _query("neardup", "classes", "fetch_results"),
+    "p2_found": _query("encoding", "found", "fetch_results"),
+    "p2_restored": _query("encoding", "restored", "fetch_results"),
     "p4_found": _query("stuffing", "found", "fetch_results"),
     "p4_labels": _query("stuffing", "labelled_pages", "fetch_results"),
     "p4_links": _query("stuffing", "stuffed_links", "fetch_results", "extracted_links"),
     "p5_found": _query("repeats", "found", "fetch_results"),
     "p5_cleaned": _query("repeats", "cleaned", "fetch_results"),
+    "p6_found": _query("residue", "found", "fetch_results"),
+    "p6_labels": _query("residue", "labels", "fetch_results"),
+    "p6_kept": _query("residue", "kept", "fetch_results"),
     "p7_found": _query("mainbody", "found", "fetch_results"),
     "p7_main_body": _query("mainbody", "main_body", "fetch_results"),
 }
