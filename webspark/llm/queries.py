@@ -35,6 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_kept": _query("residue", "kept", "fetch_results"),
     "p7_found": _query("mainbody", "found", "fetch_results"),
     "p7_main_body": _query("mainbody", "main_body", "fetch_results"),
+    "p8_ids": _query("tokens", "encoded", "documents"),
+    "p8_round_trip": _query("tokens", "round_trip", "documents"),
+    "p9_mixture": _query("mixing", "mixture", "documents", "source_targets"),
+    "p9_shares": _query("mixing", "shares", "documents", "source_targets"),
+    "p10_found": _query("truncation", "found", "documents"),
+    "p10_by_source": _query("truncation", "by_source", "documents"),
 }
 
 #: None of these operators can be written in SQL; tests/llm holds their brute-force checks.
