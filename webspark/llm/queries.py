@@ -25,6 +25,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_classes": _query("neardup", "classes", "fetch_results"),
     "p2_found": _query("encoding", "found", "fetch_results"),
     "p2_restored": _query("encoding", "restored", "fetch_results"),
+    "p3_found": _query("personal", "found", "fetch_results", "analysis_results", "name_parts"),
+    "p3_redacted": _query("personal", "redacted", "fetch_results", "analysis_results", "name_parts"),
     "p4_found": _query("stuffing", "found", "fetch_results"),
     "p4_labels": _query("stuffing", "labelled_pages", "fetch_results"),
     "p4_links": _query("stuffing", "stuffed_links", "fetch_results", "extracted_links"),
