@@ -149,6 +149,7 @@ A MATRÍCULA NÃO É AUTOMÁTICA; a reitoria adia a lista. | AVISO: A INSCRIÇÃ
 {E} is read every morning. | The list owner is {E}. | Day line {P}, night line {P}. | The porter’s phone, {P}, is off at night. | The {X} is a registered charity, number {9}. | {X} IS A REGISTERED CHARITY, NUMBER 7148. | Emergency contact: {N} / {P} / {A}.
 The tutor answers mail sent to <{E}>. | To avoid robots, write to {E} instead. | Parcels for the club arrive at {A}. | Send the signed copy to {A}. | Sensor readings: 2059-04-50 to 389.723.6, n = 1373. | Staff from {X} and the Office of Works met in {X}. | Students near {X} report that the clinic helped them. | Neither Students nor Staff need it this January.
 Hasta 88 equipos de {X} presentaron el plan. | Las familias de {X} y {X} reciben el plan el 6 de julio. | Der Senat in {X} vereinfacht die Gebührenordnung. | Seit Juni veröffentlicht das Archiv den Bericht. | Quien estudie en {X} puede combinar la guía. | Wer in {X} wohnt, erhält das Verzeichnis. | В городе {X} кафедра расширяет программу. | Договор с {X} включает летний курс.
+Costs fell when the senate merged the clinic and moved it to {X}. Neither Students nor Staff need it. | They moved it to {X}. Work on the plan began. | During June, part-time staff can borrow it. | Eine Ausstellung über Brücken: der Senat
 Fees are €79 per term — the student union evaluates a syllabus. | Some 120 guests from {X} came on 6 August. | Incident 79811 at node {X}. | Ref 0fad0fe | Call number 4411 is on the shelf. | The {X} Building opened in 1998. | The {X} Bridge and the {X} Tower are closed.
 """
 
@@ -416,7 +417,7 @@ class Tagger:
 # Words that begin sentences before a capitalised word, never names.
 _NO_NAME = frozenset(
     "a an the in on at by from for during since last after before while with and or of to en em à au de des del la le les los las el o os as am im in zwischen mit nach von seit der die das den"
-    " le l desde hasta según selon segundo laut entre sur por para pour und et y e в на с из к по".split()
+    " ein eine einen un una une um uma desde hasta según selon segundo laut entre sur por para pour und et y e в на с из к по".split()
 )
 
 
@@ -435,6 +436,12 @@ def check(text: str, kind: str) -> bool:
         return False
     if digits or len(text) < 2 or "@" in text:
         return False
+    parts = re.findall(r"[^\W\d_][^\s,]*", text)
+    # A stop ends a sentence unless it stands behind a title or an initial; names are capitalised.
+    if any(p.endswith(".") and len(p) > 2 and p[:-1].lower() not in TITLES for p in parts[:-1]):
+        return False
+    if any(p[0].islower() and p not in ("von", "van", "de", "da", "di", "del", "der", "la", "y", "e") for p in parts):
+        return False
     first = re.match(r"[^\W\d_]+", text)
     return not (first and first[0].lower() in _NO_NAME)
 
