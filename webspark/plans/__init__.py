@@ -1 +1,6 @@
+"""The query catalogue: name -> callable(spark, sf_dir), and the SQL that checks each."""
 
+from . import url_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
