@@ -46,23 +46,52 @@ _PLACEHOLDER = re.compile(
     re.I,
 )
 # Phrases of error pages, blocks, notices about scripts, and filler.
-_PHRASE = re.compile(
-    "page not found|not be found|not found|does not exist|no longer (?:exists|available)|no page matches|nothing here|moved or was deleted|404 error|error 404"
-    "|access denied|forbidden|permission (?:denied|to)|not authori[sz]ed|bad gateway|gateway time-?out|timed out|internal server error|server error|unexpected condition"
-    "|service (?:temporarily )?unavailable|temporarily unavailable|something went wrong|^oops|an error (?:has )?occurred|engineers have been notified|try again (?:later|in a few)"
-    "|under construction|coming soon|scheduled maintenance|down for maintenance|back (?:soon|later|shortly)"
-    "|verify (?:that )?you are (?:a )?human|not a robot|captcha|unusual traffic|request was blocked|security (?:service|check)|checking your browser|cloudflare|rate limit|too many requests"
-    "|(?:enable|activate|turn on|switch on|requires?|needs?|without|disabled?) (?:javascript|scripts?|scripting)|(?:javascript|scripts?|scripting) (?:is|are|must|has been)? ?(?:required|disabled|be enabled|needed|turned off|enabled)"
-    "|traceback \\(most recent|^(?:fatal|parse) error|^warning: \\w+\\(|stack trace|exception in thread|undefined (?:index|variable)|syntax error|(?:key|type|value|name)error:"
-    "|to be supplied|sample (?:copy|text|content)|dummy (?:text|paragraph|content|copy)|placeholder|layout purposes|ignore this|asdf|qwer|blah blah|test test|lorem ipsum|dolor sit amet|^undefined$|^null$|^nan$|\\[object object\\]"
-    "|seite (?:wurde )?nicht gefunden|nicht gefunden|zugriff verweigert|wartungsarbeiten|aktivieren sie (?:bitte )?javascript|javascript (?:ist|muss|aktivieren)|blindtext|platzhalter|interner serverfehler|im aufbau"
-    "|page introuvable|introuvable|n’existe (?:pas|plus)|accès (?:refusé|interdit)|en maintenance|activez javascript|javascript est|erreur (?:interne|serveur|du serveur)|en construction|faux texte"
-    "|(?:la )?página no existe|no (?:se ha )?encontrad[ao]|acceso denegado|(?:active|habilite|activar) javascript|javascript está|en mantenimiento|error (?:interno|del servidor)|en construcción|texto de relleno"
-    "|página não (?:foi )?encontrada|não encontrada|acesso negado|(?:ative|habilite) o javascript|em manutenção|erro (?:interno|do servidor)|em construção|texto de exemplo"
-    "|страница не найдена|не найдена|доступ (?:запрещ[её]н|закрыт)|включите (?:javascript|скрипты)|ошибка сервера|технические работы|в разработке|текст-заполнитель"
-    "|页面不存在|页面未找到|找不到(?:该|此)?页面|未找到|禁止访问|拒绝访问|启用javascript|开启javascript|需要javascript|服务器(?:内部)?错误|维护中|建设中|敬请期待|验证您是|示例文本",
-    re.I | re.M,
-)
+PHRASES = """
+page not found | not be found | not found | does not exist | no longer exists | no longer available | no page matches | nothing here | moved or was deleted | 404 error | error 404
+access denied | forbidden | permission denied | permission to | not authorised | not authorized | bad gateway | gateway timeout | gateway time-out | timed out | internal server error
+server error | unexpected condition | service unavailable | temporarily unavailable | something went wrong | error occurred | error has occurred | engineers have been notified
+try again later | try again in a few | under construction | coming soon | scheduled maintenance | down for maintenance | back soon | back later | back shortly
+verify you are human | verify that you are | you are a human | not a robot | captcha | unusual traffic | request was blocked | security service | security check | checking your browser | rate limit | too many requests
+enable javascript | enable scripts | activate javascript | turn on javascript | switch on javascript | requires javascript | require javascript | needs javascript | without javascript | disabled javascript | turn on scripts
+javascript is required | javascript required | javascript must be | javascript is disabled | javascript disabled | javascript is not enabled | javascript to be enabled | scripts are required | scripts must be | scripts are disabled
+scripting disabled | scripting is disabled | scripting must be | scripting is required | scripting enabled
+traceback (most recent | fatal error | parse error | mysqli_ | mysql_connect | stack trace | exception in thread | undefined index | undefined variable | syntax error | keyerror: | typeerror: | valueerror: | nameerror: | nullpointerexception
+to be supplied | sample copy | sample text | sample content | dummy text | dummy paragraph | dummy content | dummy copy | placeholder | layout purposes | ignore this | asdf | qwer | blah blah | test test | lorem ipsum | dolor sit amet | [object object]
+nicht gefunden | zugriff verweigert | wartungsarbeiten | aktivieren sie javascript | aktivieren sie bitte javascript | javascript ist | javascript muss | javascript aktivieren | blindtext | platzhalter | serverfehler | im aufbau
+introuvable | n’existe pas | n’existe plus | accès refusé | accès interdit | en maintenance | activez javascript | activer javascript | javascript est | erreur interne | erreur serveur | erreur du serveur | en construction | faux texte
+página no existe | no encontrada | no encontrado | no se ha encontrado | acceso denegado | active javascript | habilite javascript | activar javascript | javascript está | en mantenimiento | error interno | error del servidor | en construcción | texto de relleno
+não encontrada | não foi encontrada | acesso negado | ative o javascript | habilite o javascript | em manutenção | erro interno | erro do servidor | em construção | texto de exemplo
+не найдена | не найден | доступ запрещён | доступ запрещен | доступ закрыт | включите javascript | включите скрипты | ошибка сервера | технические работы | в разработке | текст-заполнитель
+页面不存在 | 页面未找到 | 找不到页面 | 找不到该页面 | 找不到此页面 | 未找到 | 禁止访问 | 拒绝访问 | 启用javascript | 开启javascript | 需要javascript | 服务器错误 | 服务器内部错误 | 维护中 | 建设中 | 敬请期待 | 验证您是 | 示例文本
+"""
+_WHOLE = frozenset("undefined null nan oops! oops error ??? tbd todo n/a".split())
+_LITERALS = [p.strip() for line in PHRASES.strip().split("\n") for p in line.split("|") if p.strip()]
+
+
+def _matcher():
+    """Whether a normalised line holds a phrase; an automaton where the library is there."""
+    literals = [dom.digits0(p) for p in _LITERALS]
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: any(p in text for p in literals)
+    automaton = ahocorasick.Automaton()
+    for p in literals:
+        automaton.add_word(p, 1)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None
+
+
+_has_phrase = None
+
+
+def has_phrase(norm: str) -> bool:
+    global _has_phrase
+    if _has_phrase is None:
+        _has_phrase = _matcher()
+    return norm in _WHOLE or _has_phrase(norm)
+
+
 # Words of the usual Latin filler.
 _LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation"
@@ -86,8 +115,8 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
                 open_text = open_text.replace(sample, " ")
         held = 1 if any(c in open_text for c in "{}%[]_") and _PLACEHOLDER.search(open_text) else 0
         ws = dom.words(norm)
-        phrase = 1 if _PHRASE.search(norm) and len(ws) <= SHORT else 0
-        if not phrase and len(ws) >= 4:
+        phrase = 1 if len(ws) <= SHORT and has_phrase(norm) else 0
+        if not phrase and len(ws) >= 4 and sum(w.strip(".,") in _LATIN for w in ws[:12]) * 2 >= min(12, len(ws)):
             phrase = 1 if sum(w.strip(".,") in _LATIN for w in ws) >= 0.6 * len(ws) else 0
         out.append(len(ws) * 4 + phrase * 2 + held)
     notes = 1 if _PLACEHOLDER.search(page.title) else 0
