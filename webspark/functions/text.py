@@ -29,7 +29,7 @@ def truncate(t: Column, size: int = 100, suffix: str = "...") -> Column:
 
 
 def sentences(t: Column) -> Column:
-    return F.filter(F.transform(F.split(t, "[.!?。！？]+"), clean), lambda s: s != "")
+    return F.filter(F.transform(F.split(t, "[.!?。！？]+"), lambda s: clean(s)), lambda s: s != "")
 
 
 def words(t: Column) -> Column:

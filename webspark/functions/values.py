@@ -43,15 +43,15 @@ def clamp_priority_int(p: Column) -> Column:
 def duration(seconds: Column) -> Column:
     """Duration with one decimal: seconds, minutes or hours."""
     return (
-        F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("秒")))
-        .when(seconds < 3600, F.concat(F.format_string("%.1f", seconds / 60), F.lit("分钟")))
-        .otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit("小时")))
+        F.when(seconds < 60, F.concat(F.format_string("%.1f", F.bround(seconds, 1)), F.lit("秒")))
+        .when(seconds < 3600, F.concat(F.format_string("%.1f", F.bround(seconds / 60, 1)), F.lit("分钟")))
+        .otherwise(F.concat(F.format_string("%.1f", F.bround(seconds / 3600, 1)), F.lit("小时")))
     )
 
 
 def duration_between(start: Column, end: Column) -> Column:
     """Whole-second duration between two times; in progress while the end is null."""
-    s = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1e6).cast("bigint")
+    s = F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6).cast("bigint")
     num = lambda c: c.cast("string")
     m, r, h, hm = F.floor(s / 60), s % 60, F.floor(s / 3600), F.floor((s % 3600) / 60)
     return (

@@ -17,7 +17,7 @@ _SENTENCE_END = re.compile(r"[.!?。！？]\s+")
 def pack_paragraphs(text: Column, size: int = 1000, overlap: int = 200, least: int = 100, sep: str = "\n\n") -> Column:
     """Paragraphs joined while they fit; a full chunk of at least ``least`` characters is
     emitted and the next begins with its last ``overlap`` ones.  Paragraphs are never split."""
-    paras = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), strip), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), sep), lambda p: strip(p)), lambda p: p != "")
     empty = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:

@@ -33,11 +33,16 @@ def insert_status(items: DataFrame, order: list[str], max_depth: int = 3, allowe
     """Status of each row on insertion, first failure first: invalid, depth, filtered,
     duplicate, added.  ``order`` says which of equal urls comes first; ``seen`` has
     ``url_hash`` of urls known before."""
-    rows = items.withColumn("norm", U.normalize(F.coalesce("url", F.lit("")))).withColumn("url_hash", F.md5("norm"))
-    reason = filter_reason(F.col("norm"), allowed or [])
+    # The canonical url is bound once as a lambda variable; as a column it would be put into
+    # every branch of the checks.
+    checked = F.transform(
+        F.array(U.normalize(F.coalesce("url", F.lit("")))),
+        lambda u: F.struct(u.alias("norm"), (U.netloc(u) == "").alias("empty"), (filter_reason(u, allowed or []) != "allowed").alias("refused")),
+    )[0]
+    rows = items.withColumn("c", checked).withColumn("norm", F.col("c.norm")).withColumn("url_hash", F.md5("norm"))
     rows = rows.withColumn(
-        "pre", F.when((F.coalesce("url", F.lit("")) == "") | (U.netloc(F.col("norm")) == ""), "invalid").when(F.col("depth") > max_depth, "depth").when(reason != "allowed", "filtered")
-    )
+        "pre", F.when((F.coalesce("url", F.lit("")) == "") | F.col("c.empty"), "invalid").when(F.col("depth") > max_depth, "depth").when(F.col("c.refused"), "filtered")
+    ).drop("c")
     if seen is not None:
         rows = rows.join(seen.select("url_hash", F.lit(True).alias("known")).distinct(), "url_hash", "left")
     else:

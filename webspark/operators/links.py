@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -79,9 +80,8 @@ def resolve_dots(href: pd.Series, base: pd.Series) -> pd.Series:
 def filter_reason(url: Column, allowed: list[str], patterns: list[str] = U.EXCLUDE_PATTERNS, extensions: list[str] = U.EXCLUDED_EXTENSIONS) -> Column:
     """Why a url is not admitted, first failure first; 'allowed' if it is."""
     low_path = F.lower(U.part(url, 3))
-    pattern, ext = U.first_in(url, patterns), None
-    for e in extensions:
-        ext = F.when(low_path.endswith(e), F.lit(e)) if ext is None else ext.when(low_path.endswith(e), F.lit(e))
+    pattern = U.first_in(url, patterns)
+    ext = F.nullif(F.regexp_extract(low_path, "(" + "|".join(re.escape(e) for e in extensions) + ")$", 1), F.lit(""))
     out = F.when(F.coalesce(url, F.lit("")) == "", F.lit("empty")).when(~F.lower(U.part(url, 1)).isin("http", "https"), F.lit("scheme"))
     if allowed:
         out = out.when(~U.any_in(U.host(url), allowed), F.lit("domain"))
