@@ -82,7 +82,10 @@ def normalize(url: Column, base: Column | None = None) -> Column:
 
 def normalize_utils(url: Column) -> Column:
     """Trimmed, without fragment; null unless scheme and netloc are there."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^\s+|\s+$", ""), "#.*$", "")
+    u = F.regexp_replace(url, r"^\s+|\s+$", "")
+    # Taking a fragment off writes the url anew, with its scheme in lower case.
+    scheme = part(u, 1)
+    u = F.when(F.contains(u, F.lit("#")), F.concat(F.lower(scheme), F.substring(F.regexp_replace(u, "#.*$", ""), F.length(scheme) + 1, F.length(u)))).otherwise(u)
     return F.when((part(u, 1) != "") & (netloc(u) != ""), u)
 
 

@@ -98,7 +98,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, batch: int | None
     return visited
 
 
-def score(base: Column, ai: Column, link_type: Column, depth: Column, penalty: float = 0.5) -> Column:
+def score(base: Column, ai: Column, link_type: Column, depth: Column, penalty: float = 0.1) -> Column:
     bonus = F.lit(0.0)
     for name, value in U.TYPE_BONUS.items():
         bonus = F.when(link_type == name, F.lit(value)).otherwise(bonus)

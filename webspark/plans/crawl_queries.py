@@ -178,7 +178,7 @@ _BONUS = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in U.TYPE_BONUS
 @query(
     "queue_items",
     sql=f"""WITH q AS (SELECT DISTINCT url, depth, priority, {sql_class('url', U.LINK_CLASSES_V2)} AS type FROM queue_items WHERE url IS NOT NULL),
-    s AS (SELECT *, -(5 + priority * 2 + {_BONUS} - depth * 0.5) AS score FROM q) SELECT url, depth, priority, type, round(CAST(score AS DOUBLE), 6) AS score, round(-CAST(score AS DOUBLE), 6) AS shown FROM s""",
+    s AS (SELECT *, -(5 + priority * 2 + {_BONUS} - depth * 0.1) AS score FROM q) SELECT url, depth, priority, type, round(CAST(score AS DOUBLE), 6) AS score, round(-CAST(score AS DOUBLE), 6) AS shown FROM s""",
 )
 def frontier_priority_v2(queue_items):
     """Float priorities of the frontier, and as shown by peeking."""

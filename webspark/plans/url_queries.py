@@ -61,7 +61,8 @@ def url_normalize(extracted_links, fetch_results):
     return _urls(extracted_links, fetch_results).select("url", U.normalize(F.col("url")).alias("norm"), U.url_hash(F.col("url")).alias("url_hash"))
 
 
-_TRIM = "regexp_replace(regexp_replace(url, '^\\s+|\\s+$', '', 'g'), '#.*$', '')"
+_STRIPPED = "regexp_replace(url, '^\\s+|\\s+$', '', 'g')"
+_TRIM = f"(CASE WHEN contains({_STRIPPED}, '#') THEN lower({part(_STRIPPED, 1)}) || substr(regexp_replace({_STRIPPED}, '#.*$', ''), length({part(_STRIPPED, 1)}) + 1) ELSE {_STRIPPED} END)"
 
 
 @query(
