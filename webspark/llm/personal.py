@@ -39,7 +39,7 @@ EMAIL = re.compile(
     rf"[A-Za-z0-9][A-Za-z0-9_.+%-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[A-Za-z0-9][A-Za-z0-9_.+%-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+"
 )
 _TOKEN = re.compile(
-    EMAIL.pattern + r"|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*|[A-Za-z]?\d+[A-Za-z]?(?![^\W_])|[A-Za-z\d]+|\S"
+    EMAIL.pattern + r"|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-](?!s\b)[^\W\d_㐀-鿿]+)*|[A-Za-z]?\d+[A-Za-z]?(?![^\W_])|[A-Za-z\d]+|\S"
 )
 # Titles before names, and signs of addresses.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau m mme mlle monsieur madame sr sra srta don doña señor señora senhor senhora dona dott г-н г-жа доктор профессор".split())
@@ -84,9 +84,23 @@ def features(w: str, names: dict[str, str]) -> tuple[list[str], list[str]]:
         own += ["e3=" + low[-3:] + sh, "e4=" + low[-4:] + sh, "b3=" + low[:3] + sh]
     if sh == "c":
         own.append("cjk")
+        if low in _family_signs(names):
+            about.append("n=sign")
+            own.append("n=sign")
     return own, about
 
 
+def _family_signs(names: dict[str, str]) -> frozenset[str]:
+    """Characters of the family names written in them."""
+    key = id(names)
+    if key not in _signs:
+        _signs[key] = frozenset(c for w, k in names.items() if k == "family" for c in w if "㐀" <= c <= "鿿") | frozenset("".join(_CJK_FAMILY).replace(" ", ""))
+    return _signs[key]
+
+
+_signs: dict[int, frozenset[str]] = {}
+
+
 class Table:
     """Feature rows of token kinds, made when first met."""
 
@@ -123,7 +137,7 @@ Please contact {N} on {P} before the interview. | Ring {N} first ({P}). | Ring {
 Contact {N}, {P}. | {N} – {P} – knows the way. | {T} – {P} – knows the way. | Guardian {N} (tel. {P}), {A}. | Mobile {P}; please leave a message. | WhatsApp {P}
 The porter’s phone, {P}, is off at night. | Call {P} or fax {P} for a copy. | Numbers: {P} / {P}. | Text {P} when you arrive. | {T}; {P}; {A}. | tel {P}
 {N} moved to {A} last spring. | {N} moved to {A} and kept the number {P}. | Return books to {N}, {A}. | The key is kept at {A}. | Visitors park behind {A} after six.
-“We did not expect this,” said {N}, who lives at {A}. | Send forms to {A}. | The office is at {A}. | {N} lives at {A} with {N}. | Her address is {A}. | Meet us at {A} at noon.
+{T} moved to {A} last spring. | {T} lives at {A}. | {T}, {A}, asks for a reply. | “We did not expect this,” said {N}, who lives at {A}. | Send forms to {A}. | The office is at {A}. | {N} lives at {A} with {N}. | Her address is {A}. | Meet us at {A} at noon.
 The award went to {N} and {N} this year. | Later {N} joined the team. | Thanks to {N} for the drawings. | Interview with {N}, second year. | Photo: {N} with {N}.
 My name is {N} and I study here. | {N} beat {N} in the final round. | Minutes taken by {N}, checked by {N}. | This was {N}’s third report. | {N} wrote the preface. | By {N}
 {T}, {E}, room 14, marks the papers. | {T} ({E}, ext. {9}) supervises the group. | {T} supervises the group. | Ask {T} or {T}. | We thank {T} and {N}. | Signed: {N}
@@ -134,7 +148,7 @@ Laut {N} fehlt nur der Stempel. | Rückfragen an {N}, Tel. {P}. | Bitte an {E} s
 Según {N}, faltan dos firmas. | Contacte con {N}, teléfono {P}. | Escriba a {E} antes del lunes. | Envíe los papeles a {A}. | La solicitud de {N} ({I}) fue admitida. | Llame a {N} al {P}.
 Selon {N}, il manque une signature. | Contactez {N} au {P}. | Adressez vos questions à {E}. | Le dossier de {N}, {I}, est complet. | {N} habite {A}. | Envoyez le dossier à {A}. | Déposez les clés chez {N}, {A}.
 Fale com {N} pelo {P}. | Dúvidas: {E}. | Entregue em {A}. | O cadastro de {N} mostra {I}. | Segundo {N}, faltam duas assinaturas. | Звоните {P}. | Вопросы: {E}. | В анкете указано {I}. | Пишите {N} на {E}. | По словам {N}, не хватает подписи. | Адрес: {A}.
-联系人：{C}，电话{Z}。 | 材料请寄至{D}，收件人{C}。 | 申请人{C}的身份证号为{J}。 | 咨询邮箱：{E}。 | 请联系{C}老师，电话{Z}。 | 由{C}负责登记，身份证号{J}。 | 据{C}介绍，地址为{D}。
+联系人：{C}，电话{Z}。 | 材料请寄至{D}，收件人{C}。 | 申请人{C}的身份证号为{J}。 | 咨询邮箱：{E}。 | 请联系{C}老师，电话{Z}。 | 由{C}负责登记，身份证号{J}。 | 联系人：{C}，邮箱{E}。 | 收件人：{C}，地址：{D}。 | {C}老师的电话是{Z}。 | 申请人{C}已提交材料。 | 联系人：{C}，电话{Z}。 | 申请人{C}的身份证号为{J}。 | 据{C}介绍，地址为{D}。
 The {X} Prize is worth €4100 this year. | The {X} Hall reading room has 36 seats. | Order number {9} was archived. | Sensor readings: {9} to {9}, n = 8779. | Course code {9} replaces {9}. | Version {9} of the portal is live.
 The book (ISBN {9}) is on the list. | Follow @marrowby_campus for updates. | Lecture room 521, building 2, opens at eight. | The new greenhouse stands between {X} Road and the open practicum, 12 minutes on foot. | Reference {9}.
 Staff from {X} published the thesis together with the student union. | {X} and {X} share one bulletin, which students reach by shuttle. | By 14 April the seminar must be signed. | Ask at {X} for the waiver; it’s free for doctoral candidates.
@@ -158,7 +172,7 @@ Fees are €79 per term — the student union evaluates a syllabus. | Some 120 g
 _GIVEN = "Anna Peter Maria Paul Zoltan Ximena Wilhelm Will Julia Martin Elena Ivan Sofia Diego Camille Luc Ana Bruno Olga Dmitri Emma Liam Nora Felix Greta Hugo Iris Otto Petra Sven".split()
 _FAMILY = "Miller Fischer Garcia Silva Dubois Martin Petrov Ivanova Schneider Lopez Costa Moreau Novak Larsson Berg Hansen Keller Weber Russo Romano Brookfield Ashworth Hartwell Lindqvist Bergstrom Thornfield".split()
 _CJK_FAMILY = "欧阳 司徒 慈 屈 覃 阎 毋 席 庞 木 王 李 张 刘 陈 杨 赵 黄 周 吴".split()
-_CJK_GIVEN = "洛禾 砥芽 暮澄 岚桐 羽塘 清秋 以沫 茜汀 望舒 逸墨 伟 芳 静 明 思远 子涵 建国 晓梅".split()
+_CJK_GIVEN = "洛禾砥芽暮澄岚桐羽塘清秋以沫茜汀望舒逸墨伟芳静明思远子涵建国晓梅雨轩宇泽欣怡浩然"
 _TOWN = "Holford Easton Greywick Corbank Lindale Marrow Kelburn Oakmere Westport Nantham Tarport Fallow Brindley Penstead".split()
 _ROAD = "Cobbler Heron Quarry Orchard Pinfold Juniper Tannery Bramble Mill Station Church High Park Bridge".split()
 
@@ -188,7 +202,7 @@ def _exchange(rng: np.random.RandomState, slot: str, given: list[str], family: l
         kind = pick(["Road", "Street", "Avenue", "Lane", "Drive", "Terrace", "Close"])
         return pick([f"{n} {road} {kind}, {town}", f"Flat {rng.randint(1, 30)}, {n} {road} {kind}, {town} ZZ{d(1)} {d(1)}QX", f"{n} {road} {kind}, Apt {rng.randint(1, 40)}C, {town}", f"{road}weg {n}, 00{d(3)} {town}", f"{road}straße {n}, {d(5)} {town}", f"P.O. Box {n}, {town}", f"PO Box {n}, {town}", f"{n} rue {road}, {d(5)} {town}", f"Calle {road} {n}, {d(5)} {town}", f"Postfach {d(4)}, {d(5)} {town}", f"Rua {road}, {n}, {town}"]), "address"
     if slot == "C":
-        return pick(_CJK_FAMILY) + pick(_CJK_GIVEN), "name"
+        return pick(_CJK_FAMILY) + pick(_CJK_GIVEN) + (pick(_CJK_GIVEN) if rng.rand() < 0.8 else ""), "name"
     if slot == "Z":
         return "100" + d(8), "phone"
     if slot == "J":
@@ -397,6 +411,11 @@ class Tagger:
                         i += 1
                     kind = TYPES[(path[j] - 1) // 2]
                     a, b = win[j][1], win[i - 1][2]
+                    if kind == "name" and not check(texts[k][a:b], kind):
+                        # A sentence may end inside: the name stands behind its stop.
+                        stop = texts[k].rfind(". ", a, b)
+                        if stop >= 0 and check(texts[k][stop + 2 : b], kind) and " " in texts[k][stop + 2 : b]:
+                            a = stop + 2
                     if not check(texts[k][a:b], kind):
                         kind = "phone" if kind == "id_number" and check(texts[k][a:b], "phone") and texts[k][a] == "+" else ""
                     if kind:
