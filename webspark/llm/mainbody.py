@@ -388,27 +388,49 @@ def _segment_rows(batches: Iterator[pd.DataFrame], text: str, extra: Extra | Non
         yield pd.DataFrame(rows, columns=["fetch_id", "heading", "prose", "lines", "kinds", "masks", "extra", "notes"])
 
 
-def site_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
-    """``per_site`` example pages of each site, those with the least content hash in each of
-    as many hash classes.  Aggregated before any html moves: only hashes are shuffled, and
-    the chosen pages are fetched by them."""
+#: Records of one site that meet its examples under one key of the join.
+PER_KEY = 2000
+#: Sites of more records than that, up to this many, are broadcast with their number of keys.
+FEW_SITES = 50_000
+
+
+def with_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
+    """``pages`` (fetch_id, site, html) with ``examples``: up to ``per_site`` pages of their site,
+    those with the least content hash in each of as many hash classes.
+
+    Only ids and hashes are aggregated; the html of the chosen records is fetched by id.  The
+    join is on (site, key): a site has one key for every ``PER_KEY`` records, so however many
+    of all rows one site holds, they spread over as many keys, while small sites are not
+    multiplied.
+    """
     h = F.xxhash64("html")
-    keys = pages.select("site", h.alias("h")).groupBy("site", F.pmod("h", F.lit(per_site)).alias("c")).agg(F.min("h").alias("h"))
-    chosen = pages.select("site", h.alias("h"), "html").join(keys.select("site", "h"), ["site", "h"], "left_semi")
-    return chosen.groupBy("site", "h").agg(F.first("html").alias("html")).groupBy("site").agg(F.sort_array(F.collect_list("html")).alias("examples"))
+    chosen = staged(
+        pages.select("fetch_id", "site", h.alias("h")).groupBy("site", F.pmod("h", F.lit(per_site)).alias("c")).agg(F.min_by("fetch_id", "h").alias("fetch_id"), F.count("*").alias("n")),
+        "sites",
+    )
+    size = chosen.groupBy("site").agg(F.sum("n").alias("n")).select("site", F.ceil(F.col("n") / PER_KEY).cast("int").alias("keys"))
+    hot = size.where("keys > 1")
+    few = hot.count() <= FEW_SITES  # beyond, adaptive execution splits skewed partitions
+    if few:
+        pages = pages.join(F.broadcast(hot), "site", "left").withColumn("key", F.pmod(F.xxhash64("fetch_id"), F.coalesce("keys", F.lit(1))).cast("int")).drop("keys")
+    else:
+        pages = pages.withColumn("key", F.lit(0))
+    html = pages.join(chosen.select("fetch_id"), "fetch_id", "left_semi").select("site", "html")
+    examples = html.groupBy("site").agg(F.sort_array(F.collect_list("html")).alias("examples"))
+    if few:
+        examples = examples.join(hot, "site", "left").withColumn("key", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1))).drop("keys")
+    else:
+        examples = examples.withColumn("key", F.lit(0))
+    return pages.join(examples, ["site", "key"], "left").drop("key")
 
 
-def page_bodies(fetch: DataFrame, text: str = "line", extra: Extra | None = None, salts: int = 16) -> DataFrame:
+def page_bodies(fetch: DataFrame, text: str = "line", extra: Extra | None = None) -> DataFrame:
     """Candidate main-body lines of each record, one row a record (``PAGE_SCHEMA``).
 
     ``text`` says what stands in ``lines``: the normalised line, its "hash", or "none".
-
-    Each page meets the examples of its site in a join on (site, salt), so a site with a
-    third of all rows is spread over ``salts`` keys.
     """
     pages = with_html(fetch.select("fetch_id", "final_url", "html")).select("fetch_id", site(F.col("final_url")).alias("site"), "html")
-    ex = site_examples(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pages = spread(pages).withColumn("salt", F.pmod(F.xxhash64("fetch_id"), F.lit(salts)).cast("int")).join(ex, ["site", "salt"], "left").drop("salt")
+    pages = with_examples(spread(pages))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _segment_rows(batches, text, extra)

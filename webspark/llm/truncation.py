@@ -196,7 +196,10 @@ def judged(documents: DataFrame) -> DataFrame:
     """``(doc_id, source, length, ending, posterior, truncated)`` of each document."""
     ends = staged(endings(documents), "endings")
     remarks = ends.where("ending = 'dots' and fragment <> ''").groupBy("fragment").agg(F.countDistinct("length").alias("n")).where(F.col("n") >= MIN_REMARKS).select("fragment", F.lit(True).alias("known"))
-    both = ends.join(remarks, "fragment", "left").join(limits(ends), ["source", "length"], "left")
+    # Only the few endings with dots meet the remarks.
+    dots = ends.where("ending = 'dots'").join(remarks, "fragment", "left")
+    rest = ends.where("ending <> 'dots'").withColumn("known", F.lit(None).cast("boolean"))
+    both = dots.unionByName(rest).join(limits(ends), ["source", "length"], "left")
     kind = F.when(F.col("known") & (F.col("ending") == "dots"), F.lit("remark")).otherwise(F.col("ending"))
     odds = F.lit(0.0)
     for name, value in ODDS.items():
