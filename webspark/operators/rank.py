@@ -28,3 +28,18 @@ def source_order(source: Column, order: dict[str, int] = SOURCE_ORDER) -> Column
 def frontier_score(base: Column, ai: Column, bonus: Column, depth: Column, penalty: float = 0.1) -> Column:
     """Score of the float-priority frontier; smaller comes first."""
     return -(base + ai * 2 + bonus - depth * F.lit(penalty))
+
+
+def running_rank(df: DataFrame, keys: list[str], order: str, width: int = 1_000_000, rank: str = "rank") -> DataFrame:
+    """Rank of each row within its key by a whole-number column, from 1.
+
+    Rows are ranked inside ranges of ``width`` values and the ranges' counts are added up, so
+    a key that holds a third of all rows is ranked by many tasks.
+    """
+    part = F.floor(F.col(order) / width).cast("bigint")
+    rows = df.withColumn("_part", part)
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
+    return rows.join(starts, [*keys, "_part"]).withColumn(rank, F.col("_start") + inside).drop("_part", "_start")

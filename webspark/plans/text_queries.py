@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import chunk, dedup, links
-from ..operators.rank import top_per
+from ..operators.rank import running_rank
 from .registry import query
 
 WS = T.WS
@@ -142,7 +142,7 @@ def filenames(documents):
 def filename_unique(documents):
     """Names made unique with a running number."""
     d = documents.where("title is not null").select("doc_id", T.sanitize_namer(F.col("title")).alias("base"))
-    ranked = top_per(d, ["base"], 2**31 - 1, "doc_id", rank="k")
+    ranked = running_rank(d, ["base"], "doc_id", rank="k")
     return ranked.select("doc_id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", (F.col("k") - 1).cast("string"))).alias("filename"))
 
 
