@@ -106,3 +106,12 @@ def test_stream_drops_repeated_content(spark, tmp_path):
     q = ingest.to_table(ingest.new_content(stream).drop("ts"), out, str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {r.content_hash for r in spark.read.parquet(out).collect()} and spark.read.parquet(out).count() == 2
+
+
+def test_files(spark, tmp_path):
+    from webspark.sources import files
+
+    assert files.write_json({"a": [1, "é"]}, str(tmp_path / "d" / "x.json")) and not files.write_json({"a": 1}, "/proc/none/x.json")
+    assert files.records(spark, str(tmp_path / "d"), "a array<string>").first().a == ["1", "é"]
+    assert files.texts(spark, str(tmp_path / "d")).count() == 1
+    assert files.sizes(spark, str(tmp_path / "d")).first().n_files == 1

@@ -165,3 +165,78 @@ def generic_topk(lineitem, orders):
 def generic_antijoin(customer, orders):
     """Anti-join on neutral tables."""
     return customer.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query(
+    "analysis_results",
+    "extracted_links",
+    sql="""WITH p AS (SELECT fetch_id, unnest(prioritized_urls).url AS url, unnest(range(len(prioritized_urls))) AS pos FROM analysis_results),
+    r0 AS (SELECT fetch_id, url, min(pos) AS pos FROM p WHERE coalesce(url, '') <> '' GROUP BY fetch_id, url),
+    r AS (SELECT fetch_id, url, row_number() OVER (PARTITION BY fetch_id ORDER BY pos, url) AS k FROM r0),
+    l AS (SELECT DISTINCT fetch_id, url FROM extracted_links WHERE url IS NOT NULL AND fetch_id IN (SELECT fetch_id FROM analysis_results)),
+    x AS (SELECT l.fetch_id, l.url, row_number() OVER (PARTITION BY l.fetch_id ORDER BY md5('7' || l.url), l.url) AS k FROM l LEFT JOIN r0 ON r0.fetch_id = l.fetch_id AND r0.url = l.url WHERE r0.url IS NULL)
+    SELECT fetch_id, url, 'recommended' AS link_type, CAST(k AS INT) AS k FROM r WHERE k <= 5 UNION ALL SELECT fetch_id, url, 'exploration', CAST(k AS INT) FROM x WHERE k <= 5""",
+)
+def enqueue_v2(analysis_results, extracted_links):
+    """Five recommended links of each page and five others, chosen by a seeded hash."""
+    p = analysis_results.select("fetch_id", F.posexplode("prioritized_urls").alias("pos", "p")).select("fetch_id", "pos", F.col("p.url").alias("url")).where("coalesce(url, '') <> ''")
+    r = p.groupBy("fetch_id", "url").agg(F.min("pos").alias("pos"))
+    li = dedup.only_in(extracted_links.where("url is not null").select("fetch_id", "url").distinct(), analysis_results, "fetch_id")
+    x = li.join(r.select("fetch_id", "url"), ["fetch_id", "url"], "left_anti")
+    best = top_per(r, ["fetch_id"], 5, "pos", "url", rank="k").select("fetch_id", "url", F.lit("recommended").alias("link_type"), "k")
+    other = top_per(x, ["fetch_id"], 5, F.md5(F.concat(F.lit("7"), "url")), "url", rank="k").select("fetch_id", "url", F.lit("exploration").alias("link_type"), "k")
+    return best.unionByName(other)
+
+
+@query(
+    "analysis_results",
+    sql="""WITH a AS (SELECT analysis_id, coalesce(json_extract_string(extracted_data, '$.topic'), 'other') AS category, CASE WHEN isnan(relevance_score) THEN NULL ELSE relevance_score END AS score, summary, key_findings FROM analysis_results WHERE success),
+    r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC NULLS LAST, analysis_id) AS k FROM a)
+    SELECT r.category, r.analysis_id, CAST(k AS INT) AS k, substr(coalesce(summary, ''), 1, 200) AS summary, key_findings[1:5] AS points, n, mean_score
+    FROM r JOIN (SELECT category, count(*) AS n, round(avg(score), 6) AS mean_score FROM a GROUP BY category) g USING (category) WHERE k <= 5""",
+)
+def category_overview(analysis_results):
+    """Best five pages of each category with shortened summaries, and the category's figures."""
+    a = analysis_results.where("success").select(
+        "analysis_id",
+        F.coalesce(F.get_json_object("extracted_data", "$.topic"), F.lit("other")).alias("category"),
+        F.when(~F.isnan("relevance_score"), F.col("relevance_score")).alias("score"),
+        F.substring(F.coalesce("summary", F.lit("")), 1, 200).alias("summary"),
+        F.slice("key_findings", 1, 5).alias("points"),
+    )
+    figures = a.groupBy("category").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+    best = top_per(a, ["category"], 5, F.desc_nulls_last("score"), "analysis_id", rank="k")
+    return best.join(figures, "category").select("category", "analysis_id", "k", "summary", "points", "n", "mean_score")
+
+
+@query(
+    "analysis_results",
+    sql="""SELECT analysis_id, '<div class="card"><h3>' || replace(replace(replace(coalesce(url, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h3><p>' ||
+    replace(replace(replace(substr(coalesce(summary, ''), 1, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></div>' AS card FROM analysis_results WHERE success""",
+)
+def html_cards(analysis_results):
+    """HTML cards of pages, texts escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return analysis_results.where("success").select(
+        "analysis_id",
+        F.concat(F.lit('<div class="card"><h3>'), safe(F.coalesce("url", F.lit(""))), F.lit("</h3><p>"), safe(F.substring(F.coalesce("summary", F.lit("")), 1, 200)), F.lit("</p></div>")).alias("card"),
+    )
+
+
+@query(
+    "documents",
+    sql="""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'other' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 20 THEN 'navigation' ELSE 'content' END AS page_class,
+    CASE WHEN coalesce(text, '') = '' THEN 0.5 ELSE 0.8 END AS confidence, substr(coalesce(text, ''), 1, 300) AS fallback_summary, CAST(NULL AS VARCHAR) AS model_answer FROM documents""",
+)
+def rule_classes(documents):
+    """Classes and summaries that stand in for a model's: the rules' answers as one record."""
+    t = F.col("text")
+    empty = F.coalesce(t, F.lit("")) == ""
+    n = F.size(F.filter(F.split(t, r"[\s&&[^\x0b]]+"), lambda w: w != ""))
+    return documents.select(
+        "doc_id",
+        F.when(empty, "other").when(n < 20, "navigation").otherwise("content").alias("page_class"),
+        F.when(empty, 0.5).otherwise(0.8).alias("confidence"),
+        F.substring(F.coalesce(t, F.lit("")), 1, 300).alias("fallback_summary"),
+        F.lit(None).cast("string").alias("model_answer"),
+    )
