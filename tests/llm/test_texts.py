@@ -141,6 +141,11 @@ def test_placeholders(tagger):
     assert "[EMAIL]" in personal.replace_html(tagger, [page])[0] and "igor" not in personal.replace_html(tagger, [page])[0]
 
 
+def test_items_split_by_tags(tagger):
+    page = "<p>Use igor.fennby<b>@</b>mail.example for A &amp; B corrections.</p><p>Ask hanna&#64;uni.test &lt;now&gt;.</p>"
+    assert personal.replace_html(tagger, [page, ""]) == ["<p>Use [EMAIL]<b></b> for A &amp; B corrections.</p><p>Ask [EMAIL] &lt;now&gt;.</p>", ""]
+
+
 def test_fields(spark, names):
     table = spark.createDataFrame([(k, v) for k, v in names.items()] + [(None, "given")], "name_part string, part_kind string")
     fetch = spark.createDataFrame([(1, "<p>Thanks to Hanna Ostermann for the drawings.</p>"), (2, None), (3, ""), (4, '<a href="mailto:x.y@mail.example">m</a>')], "fetch_id bigint, html string").withColumn("id", F.lit(0))

@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from html import unescape
+from html import escape, unescape
 
 import numpy as np
 import pandas as pd
@@ -553,21 +553,54 @@ def replace(tagger: Tagger, texts: list[str]) -> list[str]:
 
 
 _PIECE = re.compile(r"(<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<[^>]*>)", re.S | re.I)
+_TAG_WITH_TEXT = re.compile(r"^<[A-Za-z].*(?:@|&#64;|&commat;|%40|tel:|\b(?:title|alt|content|placeholder|value|aria-label)\s*=)", re.S)
+
+
+def _units(pieces: list[str]) -> list[list[int]]:
+    """Pieces that are read as one text: runs of texts with inline tags between them, and each
+    tag with an attribute that may hold an item."""
+    units: list[list[int]] = []
+    run: list[int] = []
+    for i, p in enumerate(pieces):
+        if i % 2 == 0:
+            if p:
+                run.append(i)
+        elif not _INLINE_TAG.fullmatch(p):
+            if run:
+                units.append(run)
+                run = []
+        if i % 2 and _TAG_WITH_TEXT.search(p):
+            units.append([i])
+    if run:
+        units.append(run)
+    return units
 
 
 def replace_html(tagger: Tagger, pages: list[str]) -> list[str]:
-    """Pages with placeholders in their texts and attributes; markup stays as it is.
+    """Pages with placeholders in their texts and attributes.
 
-    An item split by inline tags is replaced where the page has its plain form.
+    An item split by inline tags becomes one placeholder, the tags stay.  Only pieces that
+    hold part of an item change; markup, scripts and comments keep their very bytes.
     """
-    out = []
-    for html in pages:
-        pieces = _PIECE.split(html)
-        texts = replace(tagger, [unescape(p) if "&" in p and not p.startswith("<") else p for p in pieces])
-        # Pieces without items keep their very bytes.
-        pieces = [p if t == (unescape(p) if "&" in p and not p.startswith("<") else p) else t for p, t in zip(pieces, texts)]
-        out.append("".join(pieces))
-    return out
+    split = [_PIECE.split(html) for html in pages]
+    work = [(k, unit) for k, pieces in enumerate(split) for unit in _units(pieces)]
+    plain = [[unescape(split[k][i]) if "&" in split[k][i] else split[k][i] for i in unit] for k, unit in work]
+    for (k, unit), parts, items in zip(work, plain, tagger.items(["".join(p) for p in plain])):
+        if not items:
+            continue
+        for (start, end, kind), at in ((item, 0) for item in reversed(items)):
+            first = True
+            for j, part in enumerate(parts):
+                a, b = max(start - at, 0), min(end - at, len(part))
+                at += len(part)
+                if a < b:
+                    parts[j] = part[:a] + (f"[{kind.upper()}]" if first else "") + part[b:]
+                    first = False
+        for i, part in zip(unit, parts):
+            old = split[k][i]
+            if part != (unescape(old) if "&" in old else old):
+                split[k][i] = part if i % 2 or "&" not in old else escape(part, quote=False)
+    return ["".join(pieces) for pieces in split]
 
 
 def redacted(fetch: DataFrame, analysis: DataFrame, names: DataFrame) -> DataFrame:
