@@ -157,4 +157,4 @@ def test_crawl_levels(spark):
     one_by_one = frontier.crawl(seeds, edges, 3, batch=1).collect()
     assert {r.url: r.depth for r in one_by_one} == got and len({r.round for r in one_by_one}) == 5
     assert frontier.crawl(seeds, edges, 3, max_pages=2).count() == 2
-    assert frontier.crawl(seeds.limit(0), edges, 3) is None
+    assert frontier.crawl(seeds.limit(0), edges, 3).count() == 0

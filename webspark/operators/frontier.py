@@ -95,7 +95,7 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, batch: int | None
         new = new.groupBy("url").agg(F.min("depth").alias("depth")).join(visited.select("url"), "url", "left_anti")
         frontier = saved(new, "frontier")
         round_no += 1
-    return visited
+    return visited if visited is not None else take  # no seeds: no rows
 
 
 def score(base: Column, ai: Column, link_type: Column, depth: Column, penalty: float = 0.1) -> Column:
