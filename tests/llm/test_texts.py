@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,24 @@ def test_truncated_documents(spark):
     assert truncation.found(docs.limit(0)).count() == 0
 
 
+def test_length_decides_open_endings(spark):
+    """Dots, list items and wishes are cut at a field limit and whole elsewhere."""
+    rng = random.Random(8)
+    line = lambda n, end: (" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(200)))[: n - len(end)] + end
+    rows = [(i, line(rng.randint(30, 400), "."), "s", "snippet") for i in range(600)] + [(1000 + i, line(200, "."), "s", "snippet") for i in range(120)]
+    ends = [(". Hall e...", "snippet"), (".\n- robotics\n- optics", "findings"), ("", "intent"), (" https://a.test/pa", "page_text")]
+    for k, (end, category) in enumerate(ends):
+        rows += [(2000 + k, line(200, end), "s", category), (3000 + k, line(317, end), "s", category)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, category string")
+    assert {r[0] for r in truncation.found(docs).collect()} == {2000, 2001, 2002, 2003}
+
+
+def test_every_length_may_be_a_limit():
+    """A limit that is rarer than 50 other lengths is found."""
+    pdf = pd.DataFrame({"source": "s", "length": [*range(100, 180), 900], "n": [40] * 80 + [30]})
+    assert 900 in set(truncation._limits(("s",), pdf)["length"])
+
+
 @pytest.fixture(scope="module")
 def names():
     given = {n: "given" for n in "Grace Igor Hanna Pavel Dean Mark".split()}

@@ -5,7 +5,9 @@ parameters are fitted by maximum likelihood on the source's whole length histogr
 excess of values at a candidate limit over the fitted density gives each value's posterior
 of having been censored there.  It is combined, as odds, with what the ending shows: inside
 a word, sentence, list item, JSON value, table row or log line, a mark of omission, or a
-finished form.
+finished form.  An end mark and an open sentence decide alone, as the problem's statement
+has it; dots after few words, list items, search wishes, page addresses and bare words are
+cut or whole as the length says.
 
 Null, empty and blank texts are never cases.
 """
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import spread, staged
 
-#: Odds that each kind of ending gives for a cut text.
-ODDS = {"whole": 0.001, "remark": 0.001, "dots": 30.0, "bare": 1.0, "cut": 2000.0}
-#: Prior odds of a cut text, and the odds of a length away from any limit.
-PRIOR_ODDS = 0.05
-OFF_LIMIT = 0.5
+#: Likelihood ratio of each kind of ending, cut against whole.  "item", "wish" and "address"
+#: are finished forms without an end mark.
+ODDS = {"whole": 0.001, "remark": 0.001, "item": 0.05, "wish": 0.05, "address": 0.05, "dots": 10.0, "bare": 1.0, "cut": 2000.0}
+#: Odds of a cut text away from any limit, and the most that a limit can give.
+OFF_LIMIT = 0.025
+MOST_ODDS = 100.0
 #: A closing fragment with dots in at least so many different texts is a remark.
 MIN_REMARKS = 3
 #: A candidate limit holds at least so many values, and so many times what the fit expects.
@@ -69,13 +72,13 @@ def _json_open(text: str) -> bool | None:
     return not closed
 
 
-def ending(text: str | None, category: str | None) -> tuple[str, str]:
+def graded(text: str | None, category: str | None) -> tuple[str, str]:
     """Kind of ending (see ``ODDS``; "empty" for blank texts) and the closing fragment with dots."""
     t = (text or "").strip().rstrip("​‌‍﻿")
     if not t:
         return "empty", ""
     if category == "intent":
-        return "whole", ""
+        return ("whole" if _TERMINAL.search(t) else "wish"), ""
     head = t[:400].lstrip()
     if head.startswith(("{", "[{", "```json")) or "```json" in head or (category == "llm_json" and "{" in head):
         open_value = _json_open(t[t.find("{") :] if "{" in t else t)
@@ -106,14 +109,14 @@ def ending(text: str | None, category: str | None) -> tuple[str, str]:
     if _TERMINAL.search(t):
         return "whole", ""
     if _URL.search(last):
-        return "whole", ""
+        return "address", ""
     if last.startswith("#"):
         return "cut", ""
     if _LIST.match(last):
         items = [l.strip() for l in lines[:-1] if _LIST.match(l)]
         bare = [l for l in items if not _TERMINAL.search(l)]
         if (bare and len(bare) == len(items)) or (not items and len(last.split()) <= 5):
-            return "whole", ""
+            return "item", ""
         return "cut", ""
     if _TITLE.match(last):
         return "whole", ""
@@ -122,11 +125,17 @@ def ending(text: str | None, category: str | None) -> tuple[str, str]:
     return "cut", ""
 
 
+def ending(text: str | None, category: str | None) -> tuple[str, str]:
+    """``graded`` with all finished forms as "whole"."""
+    kind, fragment = graded(text, category)
+    return ("whole" if kind in ("item", "wish", "address") else kind), fragment
+
+
 def _endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc_id, source, category, text in zip(pdf["doc_id"], pdf["source"], pdf["category"], pdf["text"]):
-            kind, fragment = ending(text, category)
+            kind, fragment = graded(text, category)
             rows.append((doc_id, source, len(text or ""), kind, fragment))
         yield pd.DataFrame(rows, columns=["doc_id", "source", "length", "ending", "fragment"])
 
@@ -168,10 +177,10 @@ def _limits(source: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("length")
     length, n = pdf["length"].to_numpy(), pdf["n"].to_numpy()
     rows = []
-    order = [i for i in np.argsort(-n, kind="stable")[:50] if n[i] >= MIN_AT_LIMIT]
-    for i in order:
-        near = (length >= length[i] * 0.85) & (length <= length[i] * 1.15)
-        around = (n[near].sum() - n[i]) / max(1, int(length[i] * 1.15) - int(length[i] * 0.85))
+    upto = np.concatenate([[0], np.cumsum(n)])
+    near = upto[np.searchsorted(length, length * 1.15, "right")] - upto[np.searchsorted(length, length * 0.85)]
+    for i in np.flatnonzero(n >= MIN_AT_LIMIT):
+        around = (near[i] - n[i]) / max(1, int(length[i] * 1.15) - int(length[i] * 0.85))
         if n[i] < MIN_EXCESS * max(around, 0.2):
             continue
         mu, sd = fit_censored(length, n, float(length[i]))
@@ -205,10 +214,8 @@ def judged(documents: DataFrame) -> DataFrame:
     for name, value in ODDS.items():
         odds = F.when(kind == name, F.lit(value)).otherwise(odds)
     posterior = F.coalesce("posterior", F.lit(0.0))
-    at = F.when(posterior > 0, posterior / F.greatest(1 - posterior, F.lit(0.01)) / PRIOR_ODDS).otherwise(F.lit(OFF_LIMIT))
-    return both.select(
-        "doc_id", "source", "length", kind.alias("ending"), posterior.alias("posterior"), (odds * PRIOR_ODDS * F.least(at, F.lit(100.0)) > 0.5).alias("truncated")
-    )
+    at = F.when(posterior > 0, F.least(posterior / F.greatest(1 - posterior, F.lit(1e-9)), F.lit(MOST_ODDS))).otherwise(F.lit(OFF_LIMIT))
+    return both.select("doc_id", "source", "length", kind.alias("ending"), posterior.alias("posterior"), (odds * at > 1).alias("truncated"))
 
 
 def found(documents: DataFrame) -> DataFrame:
