@@ -182,3 +182,32 @@ def test_labels_spread_over_chains(spark):
         new = {b for a in want for b in near if b not in want and bin((near[a] ^ near[b]) & (2**64 - 1)).count("1") <= 3}
         want, grow = want | new, bool(new)
     assert got == want and 4 not in got
+
+
+def edited(rng, words, share):
+    """The words with runs of other words in some places, so many that about ``share`` of runs stay."""
+    out = list(words)
+    for _ in range(max(1, round(len(words) * (1 - share) / (1 + share) / 5))):
+        out[rng.randrange(len(out))] = rng.choice(WORDS)
+    return out
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies of similarity 0.8 to 0.9 of trusted texts get the label, as brute force says."""
+    rng = random.Random(9)
+    rows, trusted, want = [], [], set()
+    for k in range(200):
+        base = [rng.choice(WORDS) for _ in range(rng.choice([40, 80, 200]))]
+        copy = edited(rng, base, 0.85)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        trusted.append((2 * k,))
+        x, y = (residue.shingles(t, residue.SHINGLE, residue.WordHashes()).tolist() for t in (base, copy))
+        if jaccard(x, y) >= residue.MIN_SIMILARITY:
+            want.add(2 * k + 1)
+    texts = spark.createDataFrame(rows, "text_id bigint, text string")
+    got = {r[0] for r in residue.spread_sketches(texts, spark.createDataFrame(trusted, "text_id bigint")).collect()} - {t[0] for t in trusted}
+    assert got <= want and len(want) > 80 and len(got) >= 0.95 * len(want)
