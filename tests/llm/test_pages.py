@@ -211,3 +211,14 @@ def test_recall_of_edited_copies(spark):
     texts = spark.createDataFrame(rows, "text_id bigint, text string")
     got = {r[0] for r in residue.spread_sketches(texts, spark.createDataFrame(trusted, "text_id bigint")).collect()} - {t[0] for t in trusted}
     assert got <= want and len(want) > 80 and len(got) >= 0.95 * len(want)
+
+
+def test_texts_rejected_by_the_first_of_a_sketch(spark):
+    """Of two labelled texts with one sketch, the one of greater id links to the third text alone."""
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    far, near = " ".join(rng.choice(WORDS) for _ in range(60)), " ".join(base)
+    rows = [(1, far, [7] * 4), (2, near, [7] * 4), (3, near + " end", [7] * 4)]
+    texts = spark.createDataFrame(rows, "text_id bigint, text string, sketch array<bigint>")
+    trusted = spark.createDataFrame([(1,), (2,)], "text_id bigint")
+    assert {r[0] for r in residue.spread_sketches(texts, trusted).collect()} == {1, 2, 3}

@@ -230,7 +230,8 @@ def spread_sketches(texts: DataFrame, trusted: DataFrame) -> DataFrame:
 
     ``texts`` has ``(text_id, text, sketch)`` of the different texts (sketches are made where
     they are missing), ``trusted`` ids.  Each round meets only the texts labelled in the round
-    before with the tables; of texts with one sketch the least stands for all.
+    before with the tables.  Of texts with one sketch the least is compared first; those it
+    rejects meet all the others.
     """
     if "sketch" not in texts.columns:
         texts = staged(texts.select("text_id", "text").mapInPandas(_resketched, "text_id bigint, text string, sketch array<bigint>"), "sketches")
@@ -259,6 +260,9 @@ def spread_sketches(texts: DataFrame, trusted: DataFrame) -> DataFrame:
         front = front.select("from_id", F.col("sketch_id").alias("from_sketch"))
         least = front.groupBy("from_sketch").agg(F.min("from_id").alias("from_id"))
         new = agreed(near.join(least, "from_sketch").select("text_id", "from_id"))
+        others = front.join(least, ["from_sketch", "from_id"], "left_anti")
+        rejected = near.join(new, "text_id", "left_anti")
+        new = new.unionAll(agreed(rejected.join(others, "from_sketch").select("text_id", "from_id")))
         if new.isEmpty():
             return known
         known = known.unionAll(new)
