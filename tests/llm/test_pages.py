@@ -222,3 +222,16 @@ def test_texts_rejected_by_the_first_of_a_sketch(spark):
     texts = spark.createDataFrame(rows, "text_id bigint, text string, sketch array<bigint>")
     trusted = spark.createDataFrame([(1,), (2,)], "text_id bigint")
     assert {r[0] for r in residue.spread_sketches(texts, trusted).collect()} == {1, 2, 3}
+
+
+LATIN = "lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. "
+OPENING = "the text of this page will be written by our office before spring term starts. "
+
+
+@pytest.mark.parametrize("line,want", [
+    (OPENING + LATIN * 4, True), (LATIN * 4, True), (OPENING * 4, False), ("the library was not found by visitors. " + OPENING * 4, False),
+    ("please enable javascript in the settings of your browser, then load this page again to see the catalogue, the opening hours and all the other parts. " * 2, True),
+    ("您访问的页面不存在，可能已经被移动、删除或者地址输入有误，请检查您输入的网址是否正确，或者返回网站首页继续浏览其他内容。", True),
+])
+def test_long_residue_lines(line, want):
+    assert residue.is_residue(line.strip(), dom.words(line)) == want

@@ -109,7 +109,20 @@ _LATIN = frozenset(
     " ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat"
     " cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
+_FILLER = frozenset(w + mark for w in _LATIN for mark in ("", ".", ",", ";", "...", "…", "!", "?"))
 _SCRIPTS = re.compile("javascript|script", re.I)
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
+
+
+def is_residue(norm: str, ws: list[str]) -> bool:
+    """Whether a line is an error message, a notice or filler; a line of more than ``SHORT``
+    words by the words of the sentences that hold a phrase."""
+    if has_phrase(norm):
+        if len(ws) <= SHORT:
+            return True
+        if sum(len(dom.words(x)) for x in _SENTENCE.split(norm) if has_phrase(x)) >= MIN_SHARE * len(ws):
+            return True
+    return len(ws) >= 4 and sum(map(_FILLER.__contains__, ws)) >= 0.6 * len(ws)
 
 
 def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
@@ -126,9 +139,7 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
                 open_text = open_text.replace(sample, " ")
         held = 1 if any(c in open_text for c in "{}%[]_") and _PLACEHOLDER.search(open_text) else 0
         ws = dom.words(norm)
-        phrase = 1 if len(ws) <= SHORT and has_phrase(norm) else 0
-        if not phrase and len(ws) >= 4 and sum(w.strip(".,") in _LATIN for w in ws[:12]) * 2 >= min(12, len(ws)):
-            phrase = 1 if sum(w.strip(".,") in _LATIN for w in ws) >= 0.6 * len(ws) else 0
+        phrase = 1 if is_residue(norm, ws) else 0
         out.append(len(ws) * 4 + phrase * 2 + held)
     notes = 1 if _PLACEHOLDER.search(page.title) else 0
     if any(_SCRIPTS.search(t) for t in page.noscript):
