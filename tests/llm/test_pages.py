@@ -51,6 +51,26 @@ def test_near_duplicates(spark):
     assert neardup.found(df.limit(0)).count() == 0
 
 
+def test_hard_pairs_beside_a_family_of_easy_ones(spark):
+    """A family of near copies does not end the search for pairs of similarity near 0.5."""
+    rng, hashes, rows = random.Random(4), neardup.WordHashes(), []
+    base = [rng.choice(WORDS) for _ in range(300)]
+    for _ in range(160):
+        copy = list(base)
+        copy[rng.randrange(300)] = rng.choice(WORDS)
+        rows.append(copy)
+    for _ in range(150):
+        one = [rng.choice(WORDS) for _ in range(120)]
+        rows += [one, one[:85] + [rng.choice(WORDS) for _ in range(30)]]
+    sets = [neardup.shingles(r, neardup.SHINGLE, hashes) for r in rows]
+    table = [(i, i, " ".join(r), neardup.signature(x)) for i, (r, x) in enumerate(zip(rows, sets))]
+    signed = spark.createDataFrame(table, "fetch_id bigint, body bigint, text string, sig binary")
+    hard = {(i, i + 1) for i in range(160, 460, 2) if len(set(sets[i]) & set(sets[i + 1])) >= 0.5 * len(set(sets[i]) | set(sets[i + 1]))}
+    got = {(r.a, r.b) for r in neardup.similar_classes(signed).collect()}
+    assert len(hard) > 100 and len(hard & got) >= 0.97 * len(hard)
+    assert len({(a, b) for a, b in got if b < 160}) > 12_000
+
+
 def test_signatures_estimate_similarity():
     hashes = neardup.WordHashes()
     a = neardup.shingles(WORDS[:300], 3, hashes)

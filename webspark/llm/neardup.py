@@ -1,10 +1,10 @@
 """Near-duplicate pages by a MinHash LSH forest (problem 1).
 
-Each distinct main body gets a signature of ``TREES`` labels of ``DEPTH`` bytes, one byte a
-MinHash.  The prefixes of a label are the path in one trie of the forest; bodies that share
-the prefix of a tree are candidates, verified exactly on their three-word sequences.  The
-matched prefixes are shortened, one byte a round, until the recall estimated from the pairs
-found (each stands for 1 / P(found) pairs of its similarity) reaches ``TARGET``.
+Each distinct main body gets a signature of ``TREES`` labels of ``DEPTH`` MinHashes, two bytes
+each.  A label is the path in one trie of the forest; bodies that share a path are candidates,
+met by ``ROUGH`` MinHashes and verified exactly on their three-word sequences.  ``DEPTH`` is the greatest at which a pair of
+``MIN_SIMILARITY`` itself is met with a chance of ``TARGET``, so the recall does not depend on
+how similar the other pairs of the crawl are.  Longer paths would find a part of the same pairs.
 
 Equal bodies are one class; only classes are compared, and pairs of records are made at the
 end, since the query lists them all.  Null or empty html and bodies under ``MIN_WORDS``
@@ -28,16 +28,26 @@ from .mainbody import clean_bodies, page_bodies
 MIN_WORDS = 60
 SHINGLE = 3
 MIN_SIMILARITY = 0.5
-TREES = 32
-DEPTH = 7
-LEAST_DEPTH = 3
+TREES = 74
 TARGET = 0.99
+
+
+def chance(similarity: float, depth: int) -> float:
+    """That two bodies share a path of ``depth`` MinHashes in at least one tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+DEPTH = max(d for d in range(1, 9) if chance(MIN_SIMILARITY, d) >= TARGET)
+#: Candidates that agree on fewer than ``ROUGH_AGREE`` of ``ROUGH`` MinHashes are no pair: at
+#: ``MIN_SIMILARITY`` 64 are expected and so few have a chance below 0.00001.
+ROUGH = 128
+ROUGH_AGREE = 40
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 FEW_IDS = 500_000
 
 _RNG = np.random.RandomState(7)
-_MUL = (_RNG.randint(1, 2**63 - 1, TREES * DEPTH, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _RNG.randint(0, 2**63 - 1, TREES * DEPTH, dtype=np.int64).astype(np.uint64)
+_MUL = _RNG.randint(0, 2**31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.randint(0, 2**32, TREES * DEPTH, dtype=np.int64).astype(np.uint32)
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -68,11 +78,11 @@ def shingles(ws: list[str], k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(sh: np.ndarray) -> bytes:
-    """``TREES * DEPTH`` bytes: the low byte of each MinHash."""
+    """``TREES * DEPTH`` MinHashes of two bytes: all the low bytes, then all the high ones."""
     with np.errstate(over="ignore"):
-        low = (sh[:, None] * _MUL[None, :] + _ADD[None, :]) >> np.uint64(20)
-        least = low.min(axis=0)
-        return ((least * _C3) >> np.uint64(56)).astype(np.uint8).tobytes()
+        least = ((sh >> np.uint64(32)).astype(np.uint32)[:, None] * _MUL + _ADD).min(axis=0)
+        two = (least.astype(np.uint64) * _C3) >> np.uint64(48)
+        return (two & np.uint64(255)).astype(np.uint8).tobytes() + (two >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,6 +126,13 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
 
 
+def _roughly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, ROUGH) for c in ("sig_a", "sig_b"))
+            yield pdf.loc[(x == y).sum(axis=1) >= ROUGH_AGREE, ["a", "b"]]
+
+
 def _only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """Rows of ``df`` whose id is among ``ids``; broadcast only after the ids are counted."""
     return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, column, "left_semi")
@@ -126,30 +143,21 @@ def similar_classes(signed: DataFrame) -> DataFrame:
     # One record stands for each body; equal bodies differ at most in the order of repeats.
     first = signed.groupBy("body").agg(F.min("fetch_id").alias("fetch_id"))
     one = staged(signed.join(first, ["body", "fetch_id"], "left_semi").select("body", "sig", "text"), "classes")
-    found = None
-    for depth in range(DEPTH - 1, LEAST_DEPTH - 1, -1):
-        label = F.transform(
-            F.sequence(F.lit(0), F.lit(TREES - 1)),
-            lambda t: F.xxhash64(t, F.substring("sig", t * DEPTH + 1, F.lit(depth))),
-        )
-        trie = one.select("body", F.explode(label).alias("node"))
-        pairs = trie.select("node", F.col("body").alias("a")).join(trie.select("node", F.col("body").alias("b")), "node").where("a < b").select("a", "b").distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "candidates")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct()
-        texts = _only(one.select("body", "text"), ids, "body")
-        both = pairs.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-        new = staged(both.mapInPandas(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= MIN_SIMILARITY), "similar")
-        found = new if found is None else found.unionAll(new)
-        same = F.col("similarity") + (1 - F.col("similarity")) / 256
-        chance = 1 - F.pow(1 - F.pow(same, F.lit(float(depth))), F.lit(float(TREES)))
-        seen = found.agg(F.count("*").alias("n"), F.sum(1 / chance).alias("all")).first()
-        if not seen["n"] or seen["n"] >= TARGET * seen["all"]:
-            break
-    return found
+    label = F.transform(
+        F.sequence(F.lit(0), F.lit(TREES - 1)),
+        lambda t: F.xxhash64(t, *(F.substring("sig", t * DEPTH + 1 + at, F.lit(DEPTH)) for at in (0, TREES * DEPTH))),
+    )
+    trie = one.select("body", F.explode(label).alias("node"))
+    pairs = trie.select("node", F.col("body").alias("a")).join(trie.select("node", F.col("body").alias("b")), "node").where("a < b").select("a", "b").distinct()
+    rough = one.select("body", F.substring("sig", 1, ROUGH).alias("sig"))
+    pairs = pairs.join(rough.select(F.col("body").alias("a"), F.col("sig").alias("sig_a")), "a").join(rough.select(F.col("body").alias("b"), F.col("sig").alias("sig_b")), "b")
+    pairs = staged(pairs.mapInPandas(_roughly, "a bigint, b bigint"), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct()
+    texts = _only(one.select("body", "text"), ids, "body")
+    both = pairs.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    return staged(both.mapInPandas(_verify, "a bigint, b bigint, similarity double").where(F.col("similarity") >= MIN_SIMILARITY), "similar")
 
 
 def found(fetch: DataFrame) -> DataFrame:
