@@ -118,6 +118,11 @@ def test_garbled_records(spark):
     assert encoding.found(df.limit(0)).count() == 0
 
 
+def test_pages_garbled_in_references_alone(spark):
+    df = spark.createDataFrame([(1, "<p>don&acirc;&euro;&trade;t</p>"), (2, "<p>S&atilde;o &amp; p&acirc;te</p>"), (3, "<p>a &amp; b</p>"), (4, "<p>a & b</p>")], "fetch_id bigint, html string")
+    assert {r.fetch_id: r.html for r in encoding.restored(df).collect()} == {1: "<p>don’t</p>"}
+
+
 def test_stuffed_pages(spark):
     rng = random.Random(1)
     spam = ["cheap", "best", "buy", "watches", "loans", "sale", "shoes", "bags", "online", "store"]

@@ -241,7 +241,7 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def restored(fetch: DataFrame) -> DataFrame:
     """Garbled records: ``(fetch_id, html, encodings, lost)`` with the html put right."""
-    pages = spread(with_html(fetch.select("fetch_id", "html")).where(F.col("html").rlike("[^\\x00-\\x7f]|&#|&[A-Z][a-z]+;")))
+    pages = spread(with_html(fetch.select("fetch_id", "html")).where(F.col("html").rlike("[^\\x00-\\x7f]|&[A-Za-z#]")))
     return pages.mapInPandas(_run, "fetch_id bigint, html string, encodings array<string>, lost boolean")
 
 
