@@ -4,12 +4,12 @@ A linear-chain conditional random field over word-shape features labels the toke
 text with begin and inside marks of five types.  It is trained from the small labelled table
 below, whose marked items are exchanged for others of their type so that shapes, not single
 words, are learned; parts of names come from a table of names.  Decoding is Viterbi in numpy,
-many windows of like length at once; windows without any possible beginning of an item (no
-digit run, address sign, title, name or pair of capitalised words) are skipped, as the model
-cannot label them.  A check of each item's form follows.
+many windows of like length at once.  Every token of every text is decoded; a text that occurs
+more than once in a batch is decoded once.  A check of each item's form follows.
 
 Placeholders are ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]``.
-Null and empty texts and empty arrays have no items.  Attributes of tags are read as texts.
+Null and empty texts and empty arrays have no items.  Attributes of tags and comments are read
+as texts, scripts and style sheets are not.
 """
 
 from __future__ import annotations
@@ -31,12 +31,17 @@ LABELS = ("O", *(f"{m}-{t}" for t in TYPES for m in "BI"))
 K = len(LABELS)
 DIM = 1 << 15
 
+#: Tokens a window decides on, and tokens of context on each side of them.
+WINDOW, MARGIN = 100, 25
+#: Any white space reads as a space; offsets stay.
+_SPACES = {ord(c): " " for c in "\n\r\t\f\v\u00a0\u2007\u2009\u202f\u3000"}
+
 # -- Tokens ---------------------------------------------------------------------------------
 
 _AT = r"(?:@|\s*[\[({]\s*(?:@|at|AT)\s*[\])}]\s*|\s+(?:AT|\(at\))\s+)"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|DOT|\.)\s*[\])}]\s*|\s+(?:dot|DOT|punkt|punto)\s+)"
 EMAIL = re.compile(
-    rf"[A-Za-z0-9][A-Za-z0-9_.+%-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[A-Za-z0-9][A-Za-z0-9_.+%-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+"
+    rf"[A-Za-z0-9][A-Za-z0-9_.+%-]*(?:\s*[\[({{](?:dot|DOT)[\])}}]\s*[A-Za-z0-9_+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[A-Za-z0-9][A-Za-z0-9_.+%-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+"
 )
 _TOKEN = re.compile(
     EMAIL.pattern + r"|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-](?!s\b)[^\W\d_㐀-鿿]+)*|[A-Za-z]?\d+[A-Za-z]?(?![^\W_])|[A-Za-z\d]+|\S"
@@ -165,12 +170,28 @@ The tutor answers mail sent to <{E}>. | To avoid robots, write to {E} instead. |
 Hasta 88 equipos de {X} presentaron el plan. | Las familias de {X} y {X} reciben el plan el 6 de julio. | Der Senat in {X} vereinfacht die Gebührenordnung. | Seit Juni veröffentlicht das Archiv den Bericht. | Quien estudie en {X} puede combinar la guía. | Wer in {X} wohnt, erhält das Verzeichnis. | В городе {X} кафедра расширяет программу. | Договор с {X} включает летний курс.
 Costs fell when the senate merged the clinic and moved it to {X}. Neither Students nor Staff need it. | They moved it to {X}. Work on the plan began. | During June, part-time staff can borrow it. | Eine Ausstellung über Brücken: der Senat
 Fees are €79 per term — the student union evaluates a syllabus. | Some 120 guests from {X} came on 6 August. | Incident 79811 at node {X}. | Ref 0fad0fe | Call number 4411 is on the shelf. | The {X} Building opened in 1998. | The {X} Bridge and the {X} Tower are closed.
+Selon {N}, le centre ferme tôt. | D’après {N}, rien ne change. | Écrivez à {N}, {A}. | {A} | Adresse : {A}. | Domicile : {A} | Livraison au {A}. | Según {N}, nada cambia. | Pergunte a {N}. | {N} hat das Blatt geprüft.
+Пишите {R} до пятницы. | По словам {R}, не хватает подписи. | Спросите {R} в бюро. | {R} проверил список. | Звоните {R}: {P}. | Дело {R}: {I}. | Адрес: {W}. | {W} | Живёт по адресу {W}. | Документы шлите на {W}. | Контакт: {R}, {P}.
+{C}昨天提交了材料。 | {C}负责登记。 | {C}表示同意。 | 由{C}审核。 | 感谢{C}的帮助。 | 作者：{C} | {C}、{C}参加了比赛。 | 地址：{D} | {C}将于五月到任。
+Филиал {V} получил программу. | В {V} кафедра открыла курс. | Между {V} и {V} ходит автобус. | Редакция {V} | Мы используем файлы cookie. Принять | Читайте также | Поделиться страницей | Годовой отчёт: отдел практики | Последнее обновление: 18.8.2025
+本周热门 | 开学周以来，教务处评估实验室开放日，并建议中学教师自备测量工具。 | 六月以来，档案馆调整课程目录。 | 一周内提交 | 每周一开放 | 周末活动 | 国王路站 | 高年级学生 | 马上报名 | 金融学院举办讲座 | 石油工程 | 方法与成果 | 白天开放 | 温室建成 | 汪洋与江河 | 本周推荐 | 上周活动 | 两周以后 | 校园周刊 | 周边交通
+WORDS: STAFF WRITERS, {X} | A RESIDÊNCIA ESTUDANTIL: O ARQUIVO | BY THE {X} NEWSROOM | ZULETZT GEÄNDERT AM 12.12.2020 | SOIL SCIENCE: SEASONAL PORTFOLIO | AVISO LEGAL | LA BECA DE MOVILIDAD: EL DEPARTAMENTO | RELATED ARTICLES | LE CENTRE DE LANGUES | Words: staff writers, {X} | #sale_lamps, #best-chairs 20, rugs deal, #top_visas, hotels quote, #affordable
+The record still shows {I} next to {E}. | {N} kept the number {P}. | Contacte con {N}, teléfono {P}. | Guardian {N} (tel. {P}), {A}. | Звоните {P}. | Ask {E} <now>. | Ask {E}. | Ask {E} or {N}. | {E} | See {E}, or {E} > | ({E}) | Use {E} | mail to {E} | by {E} | {X} {E} | {9} {E} | {P}, {E} | {N}, {E} | {N} {E} {P} | Contact {E} | Duplicate: {I} = {E}. | {I} = {E} | {I} = {E}; {P}
+Campus | Home | News | Library | Contact | Research | Admissions | Campus life | Jobs | {X} | {X} | {X} | {X} University | Visit {X} | Home {X} | Startseite | Bibliothek | Becas | Noticias | Inicio | Actualités | Notícias | Новости | 首页 | 新闻 | 图书馆 | Related | Tags | Share
+lamps no-fee ${9}.46 SKU{9} | tents near-me $109.77 SKU48884 | vintage lamps $67.46 SKU8136 | cheap desks $9.20 SKU12345 | sofas free-shipping $220.67 SKU61695 | ZULETZT GEÄNDERT AM 18.8.2025 | LAST UPDATED 12 MAY 2024 | Stand: 3.11.2021 | 16 May 2023 | 12/5/2020 | {9} | 4857 shares | Shared 4857 times today | Rated 4 of 5
+Ð£Ñ‡ÐµÐ±Ð½Ð°Ñ Ð¿Ñ€Ð°ÐºÑ‚Ð¸ÐºÐ° | Ð ÐµÐ´Ð°ÐºÑ†Ð¸Ñ {X} | Ð“Ð¾Ð´ 2024 | РЅРёРµ СЌРєР·Р°РјРµРЅ | ¿¼£¬×ªÔØÇë | ±¾Ò³ÄÚÈÝ½ö | VerÃ¤nderung 24 | 2 mÃ©tiers | дёЂдёЄ
 """
 
 # Further parts of names for the labelled table, so that names missing from the
 # table of names are learned too.
 _GIVEN = "Anna Peter Maria Paul Zoltan Ximena Wilhelm Will Julia Martin Elena Ivan Sofia Diego Camille Luc Ana Bruno Olga Dmitri Emma Liam Nora Felix Greta Hugo Iris Otto Petra Sven".split()
 _FAMILY = "Miller Fischer Garcia Silva Dubois Martin Petrov Ivanova Schneider Lopez Costa Moreau Novak Larsson Berg Hansen Keller Weber Russo Romano Brookfield Ashworth Hartwell Lindqvist Bergstrom Thornfield".split()
+_GIVEN += "Élodie Zoé Léa Jérôme José Inés Óscar Åsa Jürgen Günther João Łukasz".split()
+_FAMILY += "Ávila Núñez Müller Böhm Lefèvre Château Østergård Gonçalves Łęcki Šimić Peña O’Neill".split()
+_RU_GIVEN = "Иван Ивану Ивана Пётр Петра Ольга Ольги Ольге Анна Анны Анне Сергей Сергею Мария Марии Дмитрий Дмитрия Елена Елены Алексей Нина Нины".split()
+_RU_FAMILY = "Петров Петрову Петрова Иванова Ивановой Сидоров Сидорову Смирнова Смирновой Кузнецов Кузнецову Орлова Орловой Волков Волкова Лебедев Лебедеву".split()
+_RU_ROAD = "Ленина Садовая Мира Полевая Лесная Советская Гоголя Центральная".split()
+_RU_TOWN = "Каменск Озёрск Дубна Берёзово Клин Заречье Марьино Луговое".split()
 _CJK_FAMILY = "欧阳 司徒 慈 屈 覃 阎 毋 席 庞 木 王 李 张 刘 陈 杨 赵 黄 周 吴".split()
 _CJK_GIVEN = "洛禾砥芽暮澄岚桐羽塘清秋以沫茜汀望舒逸墨伟芳静明思远子涵建国晓梅雨轩宇泽欣怡浩然"
 _TOWN = "Holford Easton Greywick Corbank Lindale Marrow Kelburn Oakmere Westport Nantham Tarport Fallow Brindley Penstead".split()
@@ -190,17 +211,23 @@ def _exchange(rng: np.random.RandomState, slot: str, given: list[str], family: l
             return f"{last}, {first}", "name"
         return (f"{first} {chr(65 + rng.randint(26))}. {last}" if r < 0.2 else f"{first[0]}. {last}" if r < 0.26 else f"{first} {last}"), "name"
     if slot == "E":
-        user = pick([f"{pick(given)}.{pick(family)}", f"{pick(family)}{d(2)}", f"{pick(given)[0]}{pick(family)}"]).lower()
+        user = pick([f"{pick(given)}.{pick(family)}", f"{pick(family)}.{pick(given)}+{pick(['grad', 'apply', 'news'])}", f"{pick(family)}{d(2)}", f"{pick(given)[0]}{pick(family)}"]).lower()
         return user + pick(["@", "@", "[@]", " [at] ", " (at) "]) + pick(["mail.example", "uni.test", "dept.example.org", "mail [dot] example", "uni (dot) test"]), "email"
     if slot == "P":
-        return pick(["+44 20 7946 0" + d(3), "07700 900" + d(3), f"+1 {d(3)}.555.0{d(3)}", f"({d(3)}) 555-0{d(3)}", f"{d(3)}-555-0{d(3)}", d(3) + "5550" + d(3), "+49 30 23125 " + d(3), f"+33 1 99 00 {d(2)} {d(2)}", f"+86 100 {d(4)} {d(4)}", f"+7 495 {d(3)}-{d(2)}-{d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"0{d(2)}/{d(7)}"]), "phone"
+        return pick(["+44 20 7946 0" + d(3), "07700 900" + d(3), f"+1 {d(3)}.555.0{d(3)}", f"({d(3)}) 555-0{d(3)}", f"{d(3)}-555-0{d(3)}", d(3) + "5550" + d(3), d(3) + "5550" + d(3), d(10), "+49 30 23125 " + d(3), f"+33 1 99 00 {d(2)} {d(2)}", f"+86 100 {d(4)} {d(4)}", f"+7 495 {d(3)}-{d(2)}-{d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"0{d(2)}/{d(7)}"]), "phone"
     if slot == "I":
         what, number = pick([("identity card", d(18)), ("identity card", d(17) + "X"), ("SSN", f"{d(3)} {d(2)} {d(4)}"), ("social security number", f"{d(3)}-{d(2)}-{d(4)}"), ("passport no.", "X" + d(7)), ("passport", chr(65 + rng.randint(26)) + d(8)), ("tax ID", f"{d(2)} {d(3)} {d(3)} {d(3)}"), ("DNI", d(8) + "F"), ("National Insurance number", f"QQ {d(2)} {d(2)} {d(2)} A"), ("CPF", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"), ("NIE", "X" + d(7) + "L"), ("Steuer-ID", d(11)), ("СНИЛС", f"{d(3)}-{d(3)}-{d(3)} {d(2)}")])
         return what + " ‹" + number + "›", "id_number"
     if slot == "A":
         n, road, town = str(rng.randint(1, 300)), pick(_ROAD), pick(_TOWN)
         kind = pick(["Road", "Street", "Avenue", "Lane", "Drive", "Terrace", "Close"])
-        return pick([f"{n} {road} {kind}, {town}", f"Flat {rng.randint(1, 30)}, {n} {road} {kind}, {town} ZZ{d(1)} {d(1)}QX", f"{n} {road} {kind}, Apt {rng.randint(1, 40)}C, {town}", f"{road}weg {n}, 00{d(3)} {town}", f"{road}straße {n}, {d(5)} {town}", f"P.O. Box {n}, {town}", f"PO Box {n}, {town}", f"{n} rue {road}, {d(5)} {town}", f"Calle {road} {n}, {d(5)} {town}", f"Postfach {d(4)}, {d(5)} {town}", f"Rua {road}, {n}, {town}"]), "address"
+        return pick([f"{n} {road} {kind}, {town}", f"Flat {rng.randint(1, 30)}, {n} {road} {kind}, {town} ZZ{d(1)} {d(1)}QX", f"{n} {road} {kind}, Apt {rng.randint(1, 40)}C, {town}", f"{road}weg {n}, 00{d(3)} {town}", f"{road}straße {n}, {d(5)} {town}", f"P.O. Box {n}, {town}", f"PO Box {n}, {town}", f"{n} rue {road}, {d(5)} {town}", f"{n}, {pick(['rue', 'avenue', 'place'])} {pick(['de la', 'du', 'des', 'de'])} {road}, {d(5)} {town}", f"Calle {road} {n}, {d(5)} {town}", f"Postfach {d(4)}, {d(5)} {town}", f"Rua {road}, {n}, {town}"]), "address"
+    if slot == "R":
+        return (f"{pick(_RU_FAMILY)} {pick(_RU_GIVEN)}" if rng.rand() < 0.15 else f"{pick(_RU_GIVEN)} {pick(_RU_FAMILY)}"), "name"
+    if slot == "W":
+        return pick([f"{pick(['Улица', 'улица', 'ул.', 'Проспект', 'пр.'])} {pick(_RU_ROAD)}, {pick(['д. ', 'дом ', ''])}{rng.randint(1, 200)}{pick(['', f', кв. {rng.randint(1, 90)}'])}", f"{d(6)}, {pick(_RU_TOWN)}, ул. {pick(_RU_ROAD)}, д. {rng.randint(1, 200)}"]), "address"
+    if slot == "V":
+        return pick(_RU_TOWN), None
     if slot == "C":
         return pick(_CJK_FAMILY) + pick(_CJK_GIVEN) + (pick(_CJK_GIVEN) if rng.rand() < 0.8 else ""), "name"
     if slot == "Z":
@@ -223,7 +250,7 @@ def training_set(names: dict[str, str], copies: int = 10, seed: int = 5) -> list
     for line in re.split(r"\s*\|\s*|\n", LABELLED):
         if not line.strip():
             continue
-        for _ in range(copies if "{" in line else 3):
+        for copy in range(copies if "{" in line else 3):
             words: list[str] = []
             labels: list[int] = []
             for part in re.split(r"(\{[A-Z9]\})", line):
@@ -243,6 +270,8 @@ def training_set(names: dict[str, str], copies: int = 10, seed: int = 5) -> list
                 else:
                     b = 1 + 2 * TYPES.index(kind)
                     labels += [b] + [b + 1] * (len(ws) - 1)
+            if copy % 10 == 2:
+                words = [w.upper() for w in words]
             out.append((words, labels))
     return out
 
@@ -328,32 +357,20 @@ class Tagger:
         self.table = Table(names, weights)
         self.moves = moves
         self.names = names
-        self.trigger = re.compile(
-            r"@|[\[(]at[\])]|\bAT\b|\bat\b.{1,40}\bdot\b|\d(?:[ ./()–-]{0,2}\d){5,}|[Bb]ox \d|Postfach|路\d+号|(?:联系|联络|收件|申请|负责|姓名|老师)"
-            r"|\b\d{1,4}[A-Za-z]?,? (?:[A-Z]\w+ ){1,3}?[A-Z]\w+|[A-Z]\w+(?:weg|straße|strasse|gasse|allee) \d|\b(?:Calle|Rua|Avenida|rue|Rue) [A-Z]"
-            r"|\b[A-Z][\w’'-]*[.,]? (?:[A-Z]\. )?[A-Z][\w’'-]{2,}"
-        )
-
-    def windows(self, text: str) -> list[list[tuple[str, int, int]]]:
-        """Tokens around what may begin an item; far parts of a text are apart."""
-        if not self.trigger.search(text):
-            return []
-        spans: list[list[int]] = []
-        for m in self.trigger.finditer(text):
-            a, b = max(0, m.start() - 60), min(len(text), m.end() + 90)
-            while a > 0 and not text[a - 1].isspace() and m.start() - a < 100:
-                a -= 1
-            while b < len(text) and not text[b].isspace() and b - m.end() < 130:
-                b += 1
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = b
-            else:
-                spans.append([a, b])
+
+    def windows(self, text: str) -> list[tuple[list[tuple[str, int, int]], int, int]]:
+        """All tokens of a text in windows that overlap on both sides: (tokens, start, end).
+
+        A window decides on the items that begin between ``start`` and ``end``; together these
+        spans cover the text once, and every item has ``MARGIN`` tokens of context.
+        """
+        ws = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        if len(ws) <= WINDOW + 2 * MARGIN:
+            return [(ws, 0, len(text))] if ws else []
         out = []
-        for a, b in spans:
-            ws = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text, a, b)]
-            for at in range(0, len(ws), 110):
-                out.append(ws[max(0, at - 10) : at + 110])
+        for at in range(0, len(ws), WINDOW):
+            end = ws[at + WINDOW][1] if at + WINDOW < len(ws) else len(text)
+            out.append((ws[max(0, at - MARGIN) : at + WINDOW + MARGIN], ws[at][1], end))
         return out
 
     def decode(self, seqs: list[list[str]]) -> list[np.ndarray]:
@@ -395,14 +412,20 @@ class Tagger:
 
     def items(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Items of each text: (start, end, type), without overlaps, in order."""
+        # Lines stand on many pages: each different text is decoded once.
+        number: dict[str, int] = {}
+        which = [number.setdefault(t.translate(_SPACES), len(number)) for t in texts]
+        texts = list(number)
         where, wins = [], []
         for k, text in enumerate(texts):
             for win in self.windows(text):
                 where.append(k)
                 wins.append(win)
-        paths = self.decode([[w for w, _, _ in win] for win in wins])
+        paths = self.decode([[w for w, _, _ in win] for win, _, _ in wins])
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for k, win, path in zip(where, wins, paths):
+        for k, (win, start, end), path in zip(where, wins, paths):
+            if not path.any():
+                continue
             j = 0
             while j < len(path):
                 if path[j] % 2 == 1:
@@ -411,6 +434,9 @@ class Tagger:
                         i += 1
                     kind = TYPES[(path[j] - 1) // 2]
                     a, b = win[j][1], win[i - 1][2]
+                    if not start <= a < end:
+                        j = i
+                        continue
                     if kind == "name" and not check(texts[k][a:b], kind):
                         # A sentence may end inside: the name stands behind its stop.
                         stop = texts[k].rfind(". ", a, b)
@@ -430,7 +456,7 @@ class Tagger:
                 if not keep or item[0] >= keep[-1][1]:
                     keep.append(item)
             out.append(keep)
-        return out
+        return [out[k] for k in which]
 
 
 # Words that begin sentences before a capitalised word, never names.
@@ -448,14 +474,17 @@ def check(text: str, kind: str) -> bool:
     if kind == "phone":
         return 7 <= digits <= 15 and not re.search(r"[^\W\d_]{3}", text)
     if kind == "id_number":
-        return 6 <= digits <= 20
+        return 6 <= digits <= 20 and not re.search(r"[$=@]|[^\W\d_]{3}", text)
     if kind == "address":
-        return digits >= 1 and len(text) >= 7 and re.search(r"[^\W\d_]{2}", text) is not None and not re.search(r"\b(?:is|number|charity)\b", text, re.I)
-    if re.search("[^\\w .,’'-]|[ÃÂ]", text):
+        return digits >= 1 and len(text) >= 7 and re.search(r"[^\W\d_]{2}", text) is not None and not re.search(r"[$€#ÃÂÐÑ]|\b(?:is|number|charity)\b", text, re.I)
+    if re.search("[^\\w .,’'-]|[ÃÂÐ]|Р[^а-я]", text):
         return False
     if digits or len(text) < 2 or "@" in text:
         return False
     parts = re.findall(r"[^\W\d_][^\s,]*", text)
+    # A single word names nobody, but for names in Chinese characters.
+    if len(parts) < 2 and not re.fullmatch("[㐀-鿿]{2,4}", text):
+        return False
     # A stop ends a sentence unless it stands behind a title or an initial; names are capitalised.
     if any(p.endswith(".") and len(p) > 2 and p[:-1].lower() not in TITLES for p in parts[:-1]):
         return False
@@ -467,28 +496,89 @@ def check(text: str, kind: str) -> bool:
 
 # -- Spark ----------------------------------------------------------------------------------
 
-_ATTR_VALUE = re.compile(r"=\s*(\"[^\"<>]*\"|'[^'<>]*')")
-_TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>", re.S | re.I)
-_INLINE_TAG = re.compile(r"</?(?:a|b|i|u|em|strong|span|small|abbr|time|code|sub|sup)\b[^>]*>", re.I)
+_PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<[A-Za-z/!?][^<>\"']*(?:\"[^\"]*\"[^<>\"']*|'[^']*'[^<>\"']*)*>|<[A-Za-z/!?][^<>]*>", re.S | re.I)
+_INLINE_TAG = re.compile(r"</?(?:a|b|i|u|em|strong|span|small|abbr|time|code|sub|sup)(?![\w-])", re.I)
+_ATTR_VALUE = re.compile(r"=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_SCHEME = re.compile(r"(mailto|tel|sms):", re.I)
+
+
+class Unit:
+    """A text of a page that is read as one: the runs of text between two block tags, an
+    attribute's value, or a comment.  ``parts`` are (start, end, text): where the part stands
+    in the page and its text with entities decoded."""
+
+    __slots__ = ("parts", "attribute", "text")
+
+    def __init__(self, parts: list[tuple[int, int, str]], attribute: bool = False) -> None:
+        self.parts, self.attribute = parts, attribute
+        self.text = parts[0][2] if len(parts) == 1 else "".join(p[2] for p in parts)
+
+
+def units(html: str) -> list[Unit]:
+    """Texts of a page: its elements, with inline tags taken out, values of attributes
+    (quoted or not) and comments.  Only scripts and style sheets are no text."""
+    out: list[Unit] = []
+    run: list[tuple[int, int, str]] = []
+    at = 0
+
+    def text(a: int, b: int) -> None:
+        part = html[a:b]
+        if part and (run or not part.isspace()):
+            run.append((a, b, unescape(part) if "&" in part else part))
+
+    for m in _PIECE.finditer(html):
+        a, b = m.span()
+        text(at, a)
+        at = b
+        if html.startswith("<!--", a):
+            if run:
+                out.append(Unit(run))
+                run = []
+            run = [(a + 4, b - 3 if html.endswith("-->", a, b) else b, "")]
+            out.append(Unit([(run[0][0], run[0][1], unescape(html[run[0][0] : run[0][1]]))]))
+            run = []
+            continue
+        if run and not _INLINE_TAG.match(html, a):
+            out.append(Unit(run))
+            run = []
+        if html.find("=", a, b) >= 0 and html[a + 1 : a + 7].lower() not in ("script", "style ", "style>"):
+            for v in _ATTR_VALUE.finditer(html, a, b):
+                k = v.lastindex
+                value = v[k]
+                if len(value) > 5:
+                    s, e = v.span(k)
+                    scheme = _SCHEME.match(value)
+                    if scheme:
+                        # Until its query; the scheme says what follows.
+                        s += scheme.end()
+                        value = value[scheme.end() :].partition("?")[0]
+                        e = s + len(value)
+                        lead = "Mail: " if scheme[1].lower() == "mailto" else "Mobile "
+                        out.append(Unit([(s, s, lead), (s, e, unescape(value).replace("%40", "@"))], True))
+                    elif value[0] not in "/#." and not value.startswith(("http://", "https://")) or "@" in value or "%40" in value:
+                        out.append(Unit([(s, e, unescape(value).replace("%40", "@"))], True))
+    text(at, len(html))
+    if run:
+        out.append(Unit(run))
+    return [u for u in out if not u.text.isspace()]
 
 
 def html_texts(html: str) -> list[str]:
-    """Texts of a page: its lines, with inline tags taken out, and its attributes' values."""
-    plain = _TAGS.sub("\n", _INLINE_TAG.sub("", html))
-    if "&" in plain:
-        plain = unescape(plain)
-    out = [t for t in plain.split("\n") if len(t) > 5]
-    for m in _ATTR_VALUE.finditer(html):
-        v = m[1][1:-1]
-        if len(v) > 6 and ("@" in v or "&#" in v or "%40" in v or v.startswith("tel:") or " " in v):
-            v = unescape(v).replace("%40", "@")
-            out.append(re.sub(r"^(?:mailto|tel|sms):", "Mail: " if v.startswith("mailto") else "Mobile ", v).partition("?")[0])
-    return out
+    """Texts of a page as they are given to the model."""
+    return [u.text for u in units(html)]
+
+
+#: Rows of the table of names, which is collected and broadcast with the model.
+MAX_PARTS = 200_000
 
 
 def model(names: DataFrame) -> tuple[dict[str, str], np.ndarray, np.ndarray]:
-    """Train on the driver; the table of names is a parameter of the model and small."""
-    parts = {r["name_part"]: r["part_kind"] for r in names.where("name_part is not null").orderBy("name_part", "part_kind").collect()}
+    """Train on the driver; the table of names is a parameter of the model, of at most
+    ``MAX_PARTS`` rows (more are an error)."""
+    rows = names.where("name_part is not null").select("name_part", "part_kind").distinct().limit(MAX_PARTS + 1).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"a table of names has at most {MAX_PARTS} rows")
+    parts = {r["name_part"]: r["part_kind"] for r in sorted(rows, key=lambda r: (r["name_part"], r["part_kind"] or ""))}
     key = hash(tuple(sorted((k, str(v)) for k, v in parts.items())))
     if key not in _models:
         _models[key] = (parts, *train(parts))
@@ -552,55 +642,36 @@ def replace(tagger: Tagger, texts: list[str]) -> list[str]:
     return out
 
 
-_PIECE = re.compile(r"(<!--.*?(?:-->|\Z)|<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<[^>]*>)", re.S | re.I)
-_TAG_WITH_TEXT = re.compile(r"^<[A-Za-z].*(?:@|&#64;|&commat;|%40|tel:|\b(?:title|alt|content|placeholder|value|aria-label)\s*=)", re.S)
-
-
-def _units(pieces: list[str]) -> list[list[int]]:
-    """Pieces that are read as one text: runs of texts with inline tags between them, and each
-    tag with an attribute that may hold an item."""
-    units: list[list[int]] = []
-    run: list[int] = []
-    for i, p in enumerate(pieces):
-        if i % 2 == 0:
-            if p:
-                run.append(i)
-        elif not _INLINE_TAG.fullmatch(p):
-            if run:
-                units.append(run)
-                run = []
-        if i % 2 and _TAG_WITH_TEXT.search(p):
-            units.append([i])
-    if run:
-        units.append(run)
-    return units
-
-
 def replace_html(tagger: Tagger, pages: list[str]) -> list[str]:
-    """Pages with placeholders in their texts and attributes.
+    """Pages with placeholders in their texts, attributes and comments.
 
-    An item split by inline tags becomes one placeholder, the tags stay.  Only pieces that
-    hold part of an item change; markup, scripts and comments keep their very bytes.
+    An item split by inline tags becomes one placeholder, the tags stay.  Only parts that
+    hold some of an item change; markup and scripts keep their very bytes.
     """
-    split = [_PIECE.split(html) for html in pages]
-    work = [(k, unit) for k, pieces in enumerate(split) for unit in _units(pieces)]
-    plain = [[unescape(split[k][i]) if "&" in split[k][i] else split[k][i] for i in unit] for k, unit in work]
-    for (k, unit), parts, items in zip(work, plain, tagger.items(["".join(p) for p in plain])):
+    work = [(k, u) for k, html in enumerate(pages) for u in units(html)]
+    edits: list[list[tuple[int, int, str]]] = [[] for _ in pages]
+    for (k, unit), items in zip(work, tagger.items([u.text for _, u in work])):
         if not items:
             continue
-        for (start, end, kind), at in ((item, 0) for item in reversed(items)):
-            first = True
-            for j, part in enumerate(parts):
+        parts = [p[2] for p in unit.parts]
+        for start, end, kind in reversed(items):
+            first, at = True, 0
+            for j, (s, e, _) in enumerate(unit.parts):
+                part = unit.parts[j][2]
                 a, b = max(start - at, 0), min(end - at, len(part))
                 at += len(part)
-                if a < b:
-                    parts[j] = part[:a] + (f"[{kind.upper()}]" if first else "") + part[b:]
+                if a < b and s < e:
+                    parts[j] = parts[j][:a] + (f"[{kind.upper()}]" if first else "") + parts[j][b:]
                     first = False
-        for i, part in zip(unit, parts):
-            old = split[k][i]
-            if part != (unescape(old) if "&" in old else old):
-                split[k][i] = part if i % 2 or "&" not in old else escape(part, quote=False)
-    return ["".join(pieces) for pieces in split]
+        for (s, e, old), new in zip(unit.parts, parts):
+            if old != new:
+                edits[k].append((s, e, new if "&" not in pages[k][s:e] and "<" not in new else escape(new, quote=unit.attribute)))
+    out = []
+    for html, es in zip(pages, edits):
+        for s, e, new in sorted(es, reverse=True):
+            html = html[:s] + new + html[e:]
+        out.append(html)
+    return out
 
 
 def redacted(fetch: DataFrame, analysis: DataFrame, names: DataFrame) -> DataFrame:
