@@ -15,6 +15,7 @@ Null or empty html gives no rows; repeated records give equal rows each.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 from hashlib import blake2b, md5
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dom
-from .common import site, spread, staged, with_html
+from .common import site, staged, with_html
 
 # Names of months in the languages of the corpus, for masking dates.
 MONTHS = (
@@ -46,8 +47,8 @@ MIN_CONTEXTS = 5
 #: (for headings of blocks: if it stands beside running text that often).
 MIN_CONSTANT = 0.12
 MIN_PROSE = 0.4
-#: Lines of more words than this are never template by their counts across sites.
-MAX_WORDS = 40
+#: A block of links or attributes is a main body from this many characters on.
+MIN_LIST = 200
 
 
 def hash64(text: str) -> int:
@@ -123,33 +124,48 @@ def segment(page: dom.Page) -> Body:
                 h1 = i
             for a in page.ancestors(i):
                 has_h1[a] = True
-    for k, (node, text, link) in enumerate(lines):
+    size = [0] * n
+    legal = [False] * n
+    for node, text, link in lines:
         own[node] += 1
+        size[node] += len(text)
         chars[node] += len(text) - min(link, len(text))
+        legal[node] |= text[0] == "©"
+    named = [0] * n
+    for node, text in page.titles:
+        named[node] += len(text)
     total, plain = own[:], chars[:]
     for i in range(n - 1, 0, -1):
-        total[parent[i]] += total[i]
-        plain[parent[i]] += plain[i]
+        p = parent[i]
+        total[p] += total[i]
+        plain[p] += plain[i]
+        size[p] += size[i]
+        named[p] += named[i]
+        legal[p] |= legal[i]
     out = _excluded(page, has_h1)
     if h1:
         c = h1
-        while c > 0 and (total[c] == total[h1] or tag[c] == "header"):
+        while c > 0 and (total[c] == total[h1] and named[c] == named[h1] or tag[c] == "header"):
             c = parent[c]
     else:
-        # Without a heading: the article element, else the block of most text that is not
-        # made of links and holds no copyright line; without one there is no main body.
+        # Without a heading: the article element, else the block of most text that is not made
+        # of links and holds no copyright line.  Where links or attributes make up most of the
+        # page outside its menus, the block that holds most of them is the main body; a page
+        # of none of these has none.
         c, best = n, 0
+        blocks = [i for i in page.kids[0] if not out[i] and (total[i] or named[i]) and not legal[i]]
         for i in range(1, n):
             if not out[i] and tag[i] in ("main", "article"):
                 c = i
                 break
         else:
-            for i in page.kids[0]:
-                if not out[i] and total[i]:
-                    legal = any(l[1][0] == "©" for l in lines if l[0] >= i and i in page.ancestors(l[0]))
-                    size = sum(len(l[1]) for l in lines if l[0] >= i and i in page.ancestors(l[0]))
-                    if not legal and plain[i] > best and plain[i] >= 0.6 * size:
-                        c, best = i, plain[i]
+            for i in blocks:
+                if plain[i] > best and plain[i] >= 0.6 * size[i]:
+                    c, best = i, plain[i]
+            mass = sum(size[i] + named[i] for i in blocks)
+            for i in blocks:
+                if size[i] + named[i] > max(best, MIN_LIST, 0.5 * mass):
+                    c, best = i, size[i] + named[i]
             if c == n and own[0]:
                 c = 0
     inside = [False] * (n + 1)
@@ -219,12 +235,10 @@ def segment(page: dom.Page) -> Body:
         elif t in _KEEP or full_link or any(tag[a] == "blockquote" for a in page.ancestors(node)):
             kind = 0
         else:
-            words = n_words(norm)
-            if words >= 12:
+            if n_words(norm) >= 12:
                 prose += 1
-            kind = 1 if words <= MAX_WORDS else 0
-            if kind:
-                m = hash64(mask(norm, body.brand))
+            kind = 1
+            m = hash64(mask(norm, body.brand))
         body.lines.append(k)
         body.norms.append(norm)
         body.kinds.append(kind)
@@ -240,33 +254,35 @@ def segment(page: dom.Page) -> Body:
 class Tree:
     """Container subtree prepared for matching: labels, texts and subtree keys."""
 
-    __slots__ = ("tag", "kids", "text", "key", "size", "lines")
+    __slots__ = ("tag", "kids", "text", "key", "size", "lines", "depth")
 
     def __init__(self, body: Body) -> None:
         page = body.page
         if body.container >= len(page.tag):
-            self.tag, self.kids, self.text, self.key, self.size, self.lines = ["#none"], [[]], [()], [0], [1], [()]
+            self.tag, self.kids, self.text, self.key, self.size, self.lines, self.depth = ["#none"], [[]], [()], [0], [1], [()], 1
             return
         at: dict[int, list[int]] = {}
         for j, k in enumerate(body.lines):
             at.setdefault(page.lines[k][0], []).append(j)
-        self.tag, self.kids, self.text, self.key, self.size, self.lines = [], [], [], [], [], []
-        self._add(page, body, at, body.container)
-
-    def _add(self, page: dom.Page, body: Body, at: dict[int, list[int]], node: int, depth: int = 0) -> int:
-        me = len(self.tag)
-        ls = at.get(node, ())
-        self.tag.append(page.tag[node])
-        self.text.append(tuple(mask(body.norms[j], body.brand) for j in ls))
-        self.lines.append(ls)
-        self.kids.append([])
-        self.key.append(None)
-        self.size.append(1)
-        if depth < 60:
-            self.kids[me] = [self._add(page, body, at, k, depth + 1) for k in page.kids[node]]
-        self.size[me] += sum(self.size[k] for k in self.kids[me])
-        self.key[me] = hash((self.tag[me], self.text[me], tuple(self.key[k] for k in self.kids[me])))
-        return me
+        # Nodes in page order, so a parent stands before its children, however deep they are.
+        nodes, todo, number = [], [body.container], {}
+        while todo:
+            node = todo.pop()
+            number[node] = len(nodes)
+            nodes.append(node)
+            todo.extend(reversed(page.kids[node]))
+        self.tag = [page.tag[node] for node in nodes]
+        self.lines = [at.get(node, ()) for node in nodes]
+        self.text = [tuple(mask(body.norms[j], body.brand) for j in ls) for ls in self.lines]
+        self.kids = [[number[k] for k in page.kids[node]] for node in nodes]
+        self.size, self.key, self.depth = [1] * len(nodes), [0] * len(nodes), 0
+        deep = [1] * len(nodes)
+        for me in range(len(nodes) - 1, -1, -1):
+            kids = self.kids[me]
+            self.size[me] += sum(self.size[k] for k in kids)
+            self.key[me] = hash((self.tag[me], self.text[me], tuple(self.key[k] for k in kids)))
+            deep[me] += max((deep[k] for k in kids), default=0)
+        self.depth = deep[0]
 
 
 def match(a: Tree, b: Tree, i: int = 0, j: int = 0, memo: dict | None = None) -> int:
@@ -315,6 +331,9 @@ def match(a: Tree, b: Tree, i: int = 0, j: int = 0, memo: dict | None = None) ->
 def constant_lines(a: Tree, b: Tree) -> set[int]:
     """Lines of ``a`` whose node is aligned with a node of ``b`` of the same text."""
     memo: dict = {}
+    deep = 3 * min(a.depth, b.depth) + 1000  # ``match`` goes as deep as the trees
+    if deep > sys.getrecursionlimit():
+        sys.setrecursionlimit(deep)
     if not match(a, b, 0, 0, memo):
         return set()
     found: set[int] = set()
@@ -355,21 +374,21 @@ Extra = Callable[[Body, list[int]], tuple[list[int], int]]
 
 
 def _segment_rows(batches: Iterator[pd.DataFrame], text: str, extra: Extra | None) -> Iterator[pd.DataFrame]:
-    examples: dict[tuple, list] = {}
+    group: tuple | None = None
+    examples: list[tuple[Body, Tree]] = []
     for pdf in batches:
         rows = []
         for r in pdf.itertuples(index=False):
+            if (r.site, r.key) != group:
+                group, examples = (r.site, r.key), []
             body = segment(dom.parse(r.html))
+            if r.lead:  # an example of the pages that follow
+                examples.append((body, Tree(body)))
+                continue
             kinds = body.kinds
-            if r.examples is not None and any(k == 1 for k in kinds):
-                key = r.site
-                if key not in examples:
-                    if len(examples) > 2000:
-                        examples.clear()
-                    bodies = [segment(dom.parse(h)) for h in r.examples]
-                    examples[key] = [(b, Tree(b)) for b in bodies]
+            if examples and any(k == 1 for k in kinds):
                 tree = None
-                for other, other_tree in examples[key]:
+                for other, other_tree in examples:
                     if other.heading == body.heading:
                         continue
                     tree = tree or Tree(body)
@@ -388,20 +407,23 @@ def _segment_rows(batches: Iterator[pd.DataFrame], text: str, extra: Extra | Non
         yield pd.DataFrame(rows, columns=["fetch_id", "heading", "prose", "lines", "kinds", "masks", "extra", "notes"])
 
 
-#: Records of one site that meet its examples under one key of the join.
+#: Records of one site that meet its examples under one key.
 PER_KEY = 2000
-#: Sites of more records than that, up to this many, are broadcast with their number of keys.
+#: Sites of more records than that are broadcast with their number of keys up to this many
+#: sites; more are joined, under ``SALTS`` salts so that no site is one task's.
 FEW_SITES = 50_000
+SALTS = 64
 
 
 def with_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
-    """``pages`` (fetch_id, site, html) with ``examples``: up to ``per_site`` pages of their site,
-    those with the least content hash in each of as many hash classes.
-
-    Only ids and hashes are aggregated; the html of the chosen records is fetched by id.  The
-    join is on (site, key): a site has one key for every ``PER_KEY`` records, so however many
-    of all rows one site holds, they spread over as many keys, while small sites are not
-    multiplied.
+    """``pages`` (fetch_id, site, html) grouped and sorted by (site, key), each group led by up
+    to ``per_site`` example pages of its site (``lead`` is true): those of the least content
+    hash in each of as many hash classes.
+
+    Only ids and hashes are aggregated; the html of the chosen records is fetched by id and
+    travels once a group.  A site has one key for every ``PER_KEY`` records, so however many
+    of all rows one site holds, they spread over as many groups, while small sites are not
+    multiplied.  Groups are streamed, never held.
     """
     h = F.xxhash64("html")
     chosen = staged(
@@ -410,18 +432,19 @@ def with_examples(pages: DataFrame, per_site: int = 2) -> DataFrame:
     )
     size = chosen.groupBy("site").agg(F.sum("n").alias("n")).select("site", F.ceil(F.col("n") / PER_KEY).cast("int").alias("keys"))
     hot = size.where("keys > 1")
-    few = hot.count() <= FEW_SITES  # beyond, adaptive execution splits skewed partitions
-    if few:
-        pages = pages.join(F.broadcast(hot), "site", "left").withColumn("key", F.pmod(F.xxhash64("fetch_id"), F.coalesce("keys", F.lit(1))).cast("int")).drop("keys")
-    else:
-        pages = pages.withColumn("key", F.lit(0))
-    html = pages.join(chosen.select("fetch_id"), "fetch_id", "left_semi").select("site", "html")
-    examples = html.groupBy("site").agg(F.sort_array(F.collect_list("html")).alias("examples"))
-    if few:
-        examples = examples.join(hot, "site", "left").withColumn("key", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1))).drop("keys")
+    if hot.limit(FEW_SITES + 1).count() <= FEW_SITES:
+        known = pages.join(F.broadcast(hot), "site", "left")
     else:
-        examples = examples.withColumn("key", F.lit(0))
-    return pages.join(examples, ["site", "key"], "left").drop("key")
+        salts = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        known = pages.withColumn("salt", F.pmod(F.hash("fetch_id"), F.lit(SALTS))).join(salts, ["site", "salt"], "left").drop("salt")
+    keyed = known.select("fetch_id", "site", F.pmod(F.xxhash64("fetch_id"), F.coalesce("keys", F.lit(1))).cast("int").alias("key"), "html", F.lit(False).alias("lead"))
+    examples = (
+        pages.join(chosen.select("fetch_id"), "fetch_id", "left_semi")
+        .select("fetch_id", "site", "html")
+        .join(size, "site")
+        .select("fetch_id", "site", F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("key"), "html", F.lit(True).alias("lead"))
+    )
+    return keyed.unionAll(examples).repartition("site", "key").sortWithinPartitions("site", "key", F.col("lead").desc(), "fetch_id")
 
 
 def page_bodies(fetch: DataFrame, text: str = "line", extra: Extra | None = None) -> DataFrame:
@@ -430,7 +453,7 @@ def page_bodies(fetch: DataFrame, text: str = "line", extra: Extra | None = None
     ``text`` says what stands in ``lines``: the normalised line, its "hash", or "none".
     """
     pages = with_html(fetch.select("fetch_id", "final_url", "html")).select("fetch_id", site(F.col("final_url")).alias("site"), "html")
-    pages = with_examples(spread(pages))
+    pages = with_examples(pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return _segment_rows(batches, text, extra)
