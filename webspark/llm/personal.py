@@ -36,6 +36,13 @@ WINDOW, MARGIN = 100, 25
 #: Any white space reads as a space; offsets stay.
 _SPACES = {ord(c): " " for c in "\n\r\t\f\v\u00a0\u2007\u2009\u202f\u3000"}
 
+_ODD_SPACE = re.compile("[\n\r\t\f\v\u00a0\u2007\u2009\u202f\u3000]")
+
+
+def _even(text: str) -> str:
+    return text.translate(_SPACES) if _ODD_SPACE.search(text) else text
+
+
 # -- Tokens ---------------------------------------------------------------------------------
 
 _AT = r"(?:@|\s*[\[({]\s*(?:@|at|AT)\s*[\])}]\s*|\s+(?:AT|\(at\))\s+)"
@@ -43,9 +50,17 @@ _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|DOT|\.)\s*[\])}]\s*|\s+(?:dot|DOT|punkt|punto)
 EMAIL = re.compile(
     rf"[A-Za-z0-9][A-Za-z0-9_.+%-]*(?:\s*[\[({{](?:dot|DOT)[\])}}]\s*[A-Za-z0-9_+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+|[A-Za-z0-9][A-Za-z0-9_.+%-]*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+"
 )
-_TOKEN = re.compile(
-    EMAIL.pattern + r"|[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-](?!s\b)[^\W\d_㐀-鿿]+)*|[A-Za-z]?\d+[A-Za-z]?(?![^\W_])|[A-Za-z\d]+|\S"
-)
+_PLAIN_TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-](?!s\b)[^\W\d_㐀-鿿]+)*|[A-Za-z]?\d+[A-Za-z]?(?![^\W_])|[A-Za-z\d]+|\S")
+_TOKEN = re.compile(EMAIL.pattern + "|" + _PLAIN_TOKEN.pattern)
+# What every address has one of; texts without it are cut by the plain expression, to the same tokens.
+_AT_SIGN = re.compile(r"@|[\[({]\s*(?:at|AT)\s*[\])}]|\sAT\s|\sat\s+[A-Za-z0-9-]+\s+dot\s")
+
+
+def tokens(text: str) -> re.Pattern:
+    """The expression that cuts a text into tokens."""
+    return _TOKEN if _AT_SIGN.search(text) else _PLAIN_TOKEN
+
+
 # Titles before names, and signs of addresses.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir dame herr frau m mme mlle monsieur madame sr sra srta don doña señor señora senhor senhora dona dott г-н г-жа доктор профессор".split())
 STREETS = frozenset("road street avenue lane drive terrace close court place square way crescent row hill gardens walk mews rd st ave ln dr blvd boulevard rue calle avenida rua straße strasse allee platz weg ulica улица проспект".split())
@@ -118,9 +133,6 @@ class Table:
     def id(self, w: str) -> int:
         k = self.ids.get(w)
         if k is None:
-            if len(self.ids) > 400_000:
-                self.ids.clear()
-                self.rows.clear()
             own, about = features(w, self.names)
             row = tuple([_h(f"{off}|{f}") for f in (own if off == 0 else about)] for off in (0, -1, 1, -2, 2))
             k = self.ids[w] = len(self.rows)
@@ -358,32 +370,35 @@ class Tagger:
         self.moves = moves
         self.names = names
 
-    def windows(self, text: str) -> list[tuple[list[tuple[str, int, int]], int, int]]:
-        """All tokens of a text in windows that overlap on both sides: (tokens, start, end).
+    def windows(self, text: str) -> list[tuple[list[str], int, int, int]]:
+        """All tokens of a text in windows that overlap on both sides: (tokens, number of the
+        first token, first and last number the window decides on).
 
-        A window decides on the items that begin between ``start`` and ``end``; together these
-        spans cover the text once, and every item has ``MARGIN`` tokens of context.
+        The spans decided on cover the text once, and every item has ``MARGIN`` tokens of
+        context.
         """
-        ws = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+        ws = tokens(text).findall(text)
         if len(ws) <= WINDOW + 2 * MARGIN:
-            return [(ws, 0, len(text))] if ws else []
-        out = []
-        for at in range(0, len(ws), WINDOW):
-            end = ws[at + WINDOW][1] if at + WINDOW < len(ws) else len(text)
-            out.append((ws[max(0, at - MARGIN) : at + WINDOW + MARGIN], ws[at][1], end))
-        return out
+            return [(ws, 0, 0, len(ws))] if ws else []
+        return [(ws[max(0, at - MARGIN) : at + WINDOW + MARGIN], max(0, at - MARGIN), at, at + WINDOW) for at in range(0, len(ws), WINDOW)]
 
     def decode(self, seqs: list[list[str]]) -> list[np.ndarray]:
         """Viterbi paths; sequences of like length go through the recursion together."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(seqs)
+        known = self.table.ids
         order = sorted((i for i in range(len(seqs)) if seqs[i]), key=lambda i: len(seqs[i]))
         for at in range(0, len(order), 512):
             part = order[at : at + 512]
+            if len(known) > 400_000:  # only here, where no number of a token is in use
+                known.clear()
+                self.table.rows.clear()
             t = len(seqs[part[-1]])
             ids = np.zeros((len(part), t), int)
             mask = np.zeros((len(part), t), bool)
             for r, i in enumerate(part):
-                row = [self.table.id(w) for w in seqs[i]]
+                row = [known.get(w, -1) for w in seqs[i]]
+                if -1 in row:
+                    row = [self.table.id(w) for w in seqs[i]]
                 ids[r, : len(row)] = row
                 mask[r, : len(row)] = True
             e = self.table.scores[ids, 0]
@@ -397,8 +412,9 @@ class Tagger:
             back = np.zeros((len(part), t, K), np.int8)
             for j in range(1, t):
                 step = score[:, :, None] + self.moves
-                back[:, j] = step.argmax(1)
-                score = np.where(mask[:, j, None], step.max(1) + e[:, j], score)
+                arg = step.argmax(1)
+                back[:, j] = arg
+                score = np.where(mask[:, j, None], np.take_along_axis(step, arg[:, None, :], 1)[:, 0] + e[:, j], score)
             path = np.zeros((len(part), t), int)
             state = score.argmax(1)
             rows = np.arange(len(part))
@@ -414,18 +430,23 @@ class Tagger:
         """Items of each text: (start, end, type), without overlaps, in order."""
         # Lines stand on many pages: each different text is decoded once.
         number: dict[str, int] = {}
-        which = [number.setdefault(t.translate(_SPACES), len(number)) for t in texts]
+        which = [number.setdefault(_even(t), len(number)) for t in texts]
         texts = list(number)
         where, wins = [], []
         for k, text in enumerate(texts):
             for win in self.windows(text):
                 where.append(k)
                 wins.append(win)
-        paths = self.decode([[w for w, _, _ in win] for win, _, _ in wins])
+        paths = self.decode([win[0] for win in wins])
         found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        for k, (win, start, end), path in zip(where, wins, paths):
+        at: list[tuple[int, int]] = []
+        last = -1
+        for k, (_, first, start, end), path in zip(where, wins, paths):
             if not path.any():
                 continue
+            if k != last:
+                at = [m.span() for m in tokens(texts[k]).finditer(texts[k])]
+                last = k
             j = 0
             while j < len(path):
                 if path[j] % 2 == 1:
@@ -433,8 +454,8 @@ class Tagger:
                     while i < len(path) and path[i] == path[j] + 1:
                         i += 1
                     kind = TYPES[(path[j] - 1) // 2]
-                    a, b = win[j][1], win[i - 1][2]
-                    if not start <= a < end:
+                    a, b = at[first + j][0], at[first + i - 1][1]
+                    if not start <= first + j < end:
                         j = i
                         continue
                     if kind == "name" and not check(texts[k][a:b], kind):
