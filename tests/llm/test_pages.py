@@ -196,17 +196,32 @@ def test_labels_spread_over_chains(spark):
         words[40 * k] = f"new{k}"
         texts.append(" ".join(words))
     texts.append(" ".join(rng.choice(WORDS) for _ in range(300)))
-    rows = [(i, t) for i, t in enumerate(texts)]
-    pages = spark.createDataFrame([(i, [t], [4 * 300], 0) for i, t in rows], "fetch_id bigint, lines array<string>, extra array<int>, notes int")
-    hashed = pages.mapInPandas(residue._texts, "fetch_id bigint, label string, text string, simhash bigint").withColumnRenamed("fetch_id", "text_id")
-    near = {r.text_id: r.simhash for r in hashed.collect()}
+    pages = spark.createDataFrame([(i, [t], [8 * 300], 0) for i, t in enumerate(texts)], "fetch_id bigint, lines array<string>, extra array<int>, notes int")
+    hashed = pages.mapInPandas(residue._sketched, "fetch_id bigint, label string, text string, sketch array<bigint>").withColumnRenamed("fetch_id", "text_id")
     trusted = spark.createDataFrame([(0,)], "text_id bigint")
-    got = {r[0] for r in residue.spread_labels(hashed.select("text_id", "text", "simhash"), trusted).collect()}
-    want, grow = {0}, True
-    while grow:
-        new = {b for a in want for b in near if b not in want and bin((near[a] ^ near[b]) & (2**64 - 1)).count("1") <= 3}
-        want, grow = want | new, bool(new)
-    assert got == want and 4 not in got
+    got = {r[0] for r in residue.spread_sketches(hashed.select("text_id", "text", "sketch"), trusted).collect()}
+    assert got == {0, 1, 2, 3}
+
+
+def test_spread_finds_what_no_phrase_names(spark):
+    """Without the spread of labels the second and third page are lost; the fourth is an article."""
+    notice = "<p>We could not load what you asked us for on this machine today.</p>"
+    pages = ["<h1>Page not found</h1>" + notice, "<h1>Nothing here</h1>" + notice, "<h1>Sorry</h1>" + notice + "<p>Try the map.</p>", "<h1>Machines</h1><p>The town bought a machine that loads carts, and it works all day.</p>" * 3]
+    df = spark.createDataFrame([(i, f"http://a{i}.test/", h) for i, h in enumerate(pages)], "fetch_id bigint, final_url string, html string")
+    got = {r.fetch_id: r.label for r in residue.labels(df).collect()}
+    assert got == {0: "residue", 1: "near_duplicate", 2: "near_duplicate"}
+
+
+@pytest.mark.parametrize("text", ["<<TERM>>", "XX/XX/XXXX", "[to be completed]", "{{ body }}", "[insert text here]", "%%page_title%%"])
+def test_placeholders(text):
+    assert residue._PLACEHOLDER.search(f"the {text} of may")
+
+
+def test_runs_stay_inside_sentences():
+    words = residue.WordHashes()
+    a, b = (residue.runs(t, words) for t in ("one two three four five six.\nseven eight", "seven eight\none two three four five six."))
+    assert a.tolist() == b.tolist() and len(a) == 3
+    assert len(residue.runs("", words)) == 0
 
 
 def edited(rng, words, share):

@@ -38,6 +38,7 @@ MONTHS = (
 _MONTH = re.compile(r"(?<=0\s)(?:de\s)?(?:" + "|".join(MONTHS) + r")\b|\b(?:" + "|".join(MONTHS) + r")(?=\s0)")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(?:dialog|alertdialog|navigation|banner|contentinfo|complementary|search|menu)", re.I)
 _COPYRIGHT = re.compile(r"^©\s*(?:[0-9]+\s*)?")
+_FINISHED = re.compile("[.!?。！？…][\"'”’»)\\]]*$")
 _KEEP = frozenset("h1 h2 td th li dt dd caption figcaption pre".split())
 _LOW = frozenset("h3 h4 h5 h6".split())
 
@@ -166,6 +167,16 @@ def segment(page: dom.Page) -> Body:
             for i in blocks:
                 if size[i] + named[i] > max(best, MIN_LIST, 0.5 * mass):
                     c, best = i, size[i] + named[i]
+            if c == n:  # a notice beside link blocks: the block with most finished sentences
+                said = [0] * n
+                for node, text, link in lines:
+                    if tag[node] == "p" and link * 2 < len(text) and _FINISHED.search(text):
+                        said[node] += len(text)
+                for i in range(n - 1, 0, -1):
+                    said[parent[i]] += said[i]
+                c = max(blocks, key=lambda i: said[i], default=n)
+                if c < n and not said[c]:
+                    c = n
             if c == n and own[0]:
                 c = 0
     inside = [False] * (n + 1)

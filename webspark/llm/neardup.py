@@ -61,8 +61,9 @@ class WordHashes(dict):
         return h
 
 
-def shingles(ws: list[str], k: int, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of the runs of k words, sorted; a shorter text is one run."""
+def shingles(ws: list[str], k: int, hashes: WordHashes, distinct: bool = True) -> np.ndarray:
+    """Distinct hashes of the runs of k words, sorted (else all, in order); a shorter text is
+    one run."""
     if not ws:
         return np.empty(0, np.uint64)
     h = np.fromiter((hashes[w] for w in ws), np.uint64, len(ws))
@@ -74,7 +75,7 @@ def shingles(ws: list[str], k: int, hashes: WordHashes) -> np.ndarray:
             out ^= out >> np.uint64(29)
         out *= _C2
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return np.unique(out) if distinct else out
 
 
 def signature(sh: np.ndarray) -> bytes:

@@ -3,9 +3,10 @@
 1. Main bodies with an unfilled placeholder in the title, a heading or a paragraph outside
    code are residue, whatever else they say.
 2. Main bodies made up of error messages, filler or script notices get a trusted label from
-   the phrases below; so do pages without a main body but with a notice about scripts.
-3. Trusted labels of kind 2 spread to near-duplicates: four independent SimHashes over runs
-   of five words, a sketch of 256 bits.  ``TABLES`` tables are keyed by ``KEY_BITS`` bits each;
+   a few certain phrases; so do pages without a main body but with a notice about scripts.
+3. Trusted labels of kind 2 spread to near-duplicates, which finds the notices that hold no
+   such phrase: four independent SimHashes over runs of five words inside the sentences of a
+   body (headings apart), a sketch of 256 bits.  ``TABLES`` tables are keyed by ``KEY_BITS`` bits each;
    a labelled text looks up its keys and all keys one bit off.  Candidates are verified by
    Hamming distance and by the share of common runs, and labels spread along verified links
    until no text is new.  A link of similarity 0.8 is met with a chance below one (README
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,6 @@ from .neardup import WordHashes, shingles
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
-#: Bits of one SimHash that ``spread_labels`` allows, and the parts that key its tables.
-MAX_DISTANCE = 3
-PARTS = 5
 #: Independent SimHashes of 64 bits; similarity 0.8 differs in 15 % of the bits on average.
 HASHES = 4
 MAX_BITS = 64
@@ -53,27 +50,23 @@ SHORT = 40
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}]{0,80}\}\}|\$\{[^{}]{1,80}\}|#\{[^{}]{1,80}\}|\{%[^%]{0,80}%\}|<%[^%]{0,80}%>|%%?[A-Za-z]{2,}(?:_[A-Za-z]+)*%%?(?![0-9])"
     r"|\[\[[A-Za-z_.]{2,60}\]\]|\[(?:insert|your|add|enter)\b[^\]]{0,60}\]|\[[A-Z]{2,}(?:_[A-Z]+)+\]|\b__[A-Za-z]+(?:_[A-Za-z]+)*__\b"
-    r"|\{[a-z]+(?:[_.][a-z]+)+\}|\{[0-9]\}",
+    r"|\{[a-z]+(?:[_.][a-z]+)+\}|\{[0-9]\}|<<[a-z][a-z_. ]{0,40}>>|\bxx/xx/xxxx\b|\[(?:to be|tb[acd]|name|title|date)\b[^\]]{0,60}\]",
     re.I,
 )
-# Phrases of error pages, blocks, notices about scripts, and filler.
+# Phrases that are certain signs of error pages, blocks, notices about scripts and
+# filler.  Vague ones ("try again", "not be found", "was deleted") are left to the spread of labels.
 PHRASES = """
-page not found | not be found | not found | does not exist | no longer exists | no longer available | no page matches | nothing here | moved or was deleted | 404 error | error 404
-access denied | forbidden | permission denied | permission to | not authorised | not authorized | bad gateway | gateway timeout | gateway time-out | timed out | internal server error
-server error | unexpected condition | service unavailable | temporarily unavailable | something went wrong | error occurred | error has occurred | engineers have been notified
-try again later | try again in a few | under construction | coming soon | scheduled maintenance | down for maintenance | back soon | back later | back shortly
-verify you are human | verify that you are | you are a human | not a robot | captcha | unusual traffic | request was blocked | security service | security check | checking your browser | rate limit | too many requests
-enable javascript | enable scripts | activate javascript | turn on javascript | switch on javascript | requires javascript | require javascript | needs javascript | without javascript | disabled javascript | turn on scripts
-javascript is required | javascript required | javascript must be | javascript is disabled | javascript disabled | javascript is not enabled | javascript to be enabled | scripts are required | scripts must be | scripts are disabled
-scripting disabled | scripting is disabled | scripting must be | scripting is required | scripting enabled
-traceback (most recent | fatal error | parse error | mysqli_ | mysql_connect | stack trace | exception in thread | undefined index | undefined variable | syntax error | keyerror: | typeerror: | valueerror: | nameerror: | nullpointerexception
-to be supplied | sample copy | sample text | sample content | dummy text | dummy paragraph | dummy content | dummy copy | placeholder | layout purposes | ignore this | asdf | qwer | blah blah | test test | lorem ipsum | dolor sit amet | [object object]
-nicht gefunden | zugriff verweigert | wartungsarbeiten | aktivieren sie javascript | aktivieren sie bitte javascript | javascript ist | javascript muss | javascript aktivieren | blindtext | platzhalter | serverfehler | im aufbau
-introuvable | n’existe pas | n’existe plus | accès refusé | accès interdit | en maintenance | activez javascript | activer javascript | javascript est | erreur interne | erreur serveur | erreur du serveur | en construction | faux texte
-página no existe | no encontrada | no encontrado | no se ha encontrado | acceso denegado | active javascript | habilite javascript | activar javascript | javascript está | en mantenimiento | error interno | error del servidor | en construcción | texto de relleno
-não encontrada | não foi encontrada | acesso negado | ative o javascript | habilite o javascript | em manutenção | erro interno | erro do servidor | em construção | texto de exemplo
-не найдена | не найден | доступ запрещён | доступ запрещен | доступ закрыт | включите javascript | включите скрипты | ошибка сервера | технические работы | в разработке | текст-заполнитель
-页面不存在 | 页面未找到 | 找不到页面 | 找不到该页面 | 找不到此页面 | 未找到 | 禁止访问 | 拒绝访问 | 启用javascript | 开启javascript | 需要javascript | 服务器错误 | 服务器内部错误 | 维护中 | 建设中 | 敬请期待 | 验证您是 | 示例文本
+page not found | error 404 | 404 error | does not exist | no longer available | access denied | forbidden | permission denied | not authorised | not authorized
+bad gateway | gateway timeout | internal server error | service unavailable | temporarily unavailable | something went wrong | an error has occurred
+under construction | coming soon | scheduled maintenance | down for maintenance | verify you are human | not a robot | captcha | unusual traffic | security service | checking your browser | too many requests
+enable javascript | turn on javascript | requires javascript | javascript is required | javascript is disabled | scripts are required | scripting disabled | disabled javascript
+traceback (most recent | fatal error | parse error | mysqli_ | stack trace | syntax error | to be supplied | sample copy | sample text | dummy text | dummy paragraph | placeholder | asdf | lorem ipsum | [object object]
+nicht gefunden | zugriff verweigert | wartungsarbeiten | aktivieren sie javascript | javascript aktivieren | blindtext | serverfehler
+introuvable | accès refusé | en maintenance | activez javascript | erreur interne | en construction
+página no existe | no encontrada | acceso denegado | active javascript | habilite javascript | javascript está | en mantenimiento | error interno
+não encontrada | acesso negado | ative o javascript | habilite o javascript | em manutenção | erro interno
+не найдена | не найден | доступ запрещён | включите javascript | ошибка сервера | технические работы
+页面不存在 | 未找到 | 拒绝访问 | 启用javascript | 服务器错误 | 维护中 | 建设中 | 敬请期待
 """
 _WHOLE = frozenset("undefined null nan oops! oops error ??? tbd todo n/a".split())
 _LITERALS = [p.strip() for line in PHRASES.strip().split("\n") for p in line.split("|") if p.strip()]
@@ -126,7 +119,7 @@ def is_residue(norm: str, ws: list[str]) -> bool:
 
 
 def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
-    """Words * 4 + residue phrase * 2 + placeholder of each line; notes of the page."""
+    """Words * 8 + heading * 4 + residue phrase * 2 + placeholder of each line; notes of the page."""
     page = body.page
     out = []
     for j in use:
@@ -137,16 +130,36 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
         for sample in page.code.get(node, ()):
             if sample:
                 open_text = open_text.replace(sample, " ")
-        held = 1 if any(c in open_text for c in "{}%[]_") and _PLACEHOLDER.search(open_text) else 0
+        held = 1 if any(c in open_text for c in "{}%[]_<X") and _PLACEHOLDER.search(open_text) else 0
         ws = dom.words(norm)
         phrase = 1 if is_residue(norm, ws) else 0
-        out.append(len(ws) * 4 + phrase * 2 + held)
+        out.append(len(ws) * 8 + (page.tag[node] in dom.HEADINGS) * 4 + phrase * 2 + held)
     notes = 1 if _PLACEHOLDER.search(page.title) else 0
     if any(_SCRIPTS.search(t) for t in page.noscript):
         notes |= 2
     return out, notes
 
 
+def runs(text: str, hashes: WordHashes) -> np.ndarray:
+    """Distinct hashes of the runs of ``SHINGLE`` words inside each sentence (one a line of
+    ``text``); a shorter sentence is one run.  So a notice agrees with itself whatever heading
+    or other sentence stands beside it."""
+    out: list[np.ndarray] = []
+    long: list[str] = []
+    inside: list[int] = []
+    for sentence in text.split("\n"):
+        ws = dom.words(sentence)
+        if len(ws) >= SHINGLE:
+            long += ws
+            inside += [1] * (len(ws) - SHINGLE + 1) + [0] * (SHINGLE - 1)
+        elif ws:
+            out.append(shingles(ws, SHINGLE, hashes))
+    if long:
+        every = shingles(long, SHINGLE, hashes, distinct=False)
+        out.append(every[np.array(inside[: len(every)], bool)])
+    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
 def sketch(sh: np.ndarray) -> np.ndarray:
     """``HASHES`` SimHashes of a set of run hashes; the first is of the hashes as they are."""
     out = np.zeros(HASHES, np.int64)
@@ -170,8 +183,8 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for fetch_id, lines, extra, notes in zip(pdf["fetch_id"], pdf["lines"], pdf["extra"], pdf["notes"]):
             extra = [int(x) for x in extra]
-            total = sum(x // 4 for x in extra)
-            residue = sum(x // 4 for x in extra if x & 2)
+            total = sum(x // 8 for x in extra)
+            residue = sum(x // 8 for x in extra if x & 2)
             if notes & 1 or any(x & 1 for x in extra):
                 label = "placeholder"
             elif total == 0:
@@ -180,28 +193,23 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 label = "residue"
             else:
                 label = ""
-            text = " ".join(lines)
-            bits = sketch(shingles(dom.words(text), SHINGLE, hashes))
-            rows.append((fetch_id, label, text, int(bits[0]), bits))
-        yield pd.DataFrame(rows, columns=["fetch_id", "label", "text", "simhash", "sketch"])
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``_sketched`` with the first SimHash alone."""
-    for pdf in _sketched(batches):
-        yield pdf.drop(columns="sketch")
+            plain = [line for line, x in zip(lines, extra) if not x & 4]
+            text = "\n".join(part for line in plain or lines for part in _SENTENCE.split(line))
+            bits = sketch(runs(text, hashes))
+            rows.append((fetch_id, label, text, bits))
+        yield pd.DataFrame(rows, columns=["fetch_id", "label", "text", "sketch"])
 
 
 def labelled(fetch: DataFrame) -> DataFrame:
-    """``(fetch_id, label, text, simhash, sketch)`` of each record with html, labels by rule alone."""
+    """``(fetch_id, label, text, sketch)`` of each record with html, labels by rule alone."""
     bodies = clean_bodies(staged(page_bodies(fetch, extra=_features), "bodies"))
-    return bodies.mapInPandas(_sketched, "fetch_id bigint, label string, text string, simhash bigint, sketch array<bigint>")
+    return bodies.mapInPandas(_sketched, "fetch_id bigint, label string, text string, sketch array<bigint>")
 
 
 def _resketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for pdf in batches:
-        pdf["sketch"] = [sketch(shingles(dom.words(t), SHINGLE, hashes)) for t in pdf["text"]]
+        pdf["sketch"] = [sketch(runs(t, hashes)) for t in pdf["text"]]
         yield pdf[["text_id", "text", "sketch"]]
 
 
@@ -230,7 +238,7 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep = []
         for a, b in zip(pdf["text_a"], pdf["text_b"]):
-            x, y = (shingles(dom.words(t), SHINGLE, hashes) for t in (a, b))
+            x, y = (runs(t, hashes) for t in (a, b))
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= MIN_SIMILARITY * (len(x) + len(y) - both))
         yield pdf.loc[keep, ["text_id"]]
@@ -279,40 +287,6 @@ def spread_sketches(texts: DataFrame, trusted: DataFrame) -> DataFrame:
         known = known.unionAll(new)
 
 
-def _tables(texts: DataFrame) -> DataFrame:
-    """Ten rows a text: the pairs of its SimHash's five parts."""
-    width = [13, 13, 13, 13, 12]
-    low = np.cumsum([0] + width)
-    part = [F.shiftrightunsigned("simhash", int(low[i])).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(PARTS)]
-    keys = [F.shiftleft(F.lit(n).cast("bigint"), 26).bitwiseOR(F.shiftleft(part[a], 13)).bitwiseOR(part[b]) for n, (a, b) in enumerate(combinations(range(PARTS), 2))]
-    return texts.select("text_id", "simhash", F.explode(F.array(*keys)).alias("key"))
-
-
-def spread_labels(texts: DataFrame, trusted: DataFrame) -> DataFrame:
-    """Ids of the texts linked to a trusted text by one SimHash within ``MAX_DISTANCE`` bits.
-
-    The narrow form, which no query uses: most links of similarity 0.8 to 0.95 are lost to it
-    (see ``spread_sketches``).
-
-    ``texts`` has ``(text_id, text, simhash)`` of the different texts, ``trusted`` ids.
-    Each round meets only the texts labelled in the round before with the tables; of texts
-    with one SimHash a table row stands for all.
-    """
-    tables = staged(_tables(texts), "tables")
-    known = new = trusted
-    while True:
-        front = tables.join(new, "text_id", "left_semi").groupBy("key", "simhash").agg(F.min("text_id").alias("from_id"))
-        near = tables.join(front.withColumnRenamed("simhash", "other"), "key").where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("other"))) <= MAX_DISTANCE)
-        near = near.select("text_id", "from_id").distinct().join(known, "text_id", "left_anti")
-        pairs = near.join(texts.select("text_id", F.col("text").alias("text_a")), "text_id").join(
-            texts.select(F.col("text_id").alias("from_id"), F.col("text").alias("text_b")), "from_id"
-        )
-        new = staged(pairs.mapInPandas(_agree, "text_id bigint").distinct(), "spread")
-        if new.isEmpty():
-            return known
-        known = known.unionAll(new)
-
-
 def labels(fetch: DataFrame) -> DataFrame:
     """Residue pages with the reason: ``(fetch_id, label)``; label is placeholder, residue,
     scripts or near_duplicate."""
