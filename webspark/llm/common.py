@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,26 +18,48 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests on one machine) a temporary folder is made and set.
+    Only where it is unset and all runs on one machine (tests) a temporary folder is made and
+    set; a cluster without a shared folder is an error, as its executors could not read it.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = os.path.join(tempfile.gettempdir(), "webspark-shared")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+_staged: list[tuple[SparkSession, str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and is computed once.
 
-    The files are compressed Parquet, so a lost executor costs no recomputation.
+    The files are compressed Parquet, so a lost executor costs no recomputation.  Results are
+    lazy and read them, so they stay until ``release`` or the end of the program.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webspark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete what was staged so far; call it when the results have been written."""
+    while _staged:
+        spark, path = _staged.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended: whoever owns the folder clears it
+            continue
+
+
+atexit.register(release)
+
+
 def site(url: Column) -> Column:
     """Host of a url: lower case, without port and a leading ``www.``; '' where there is none."""
     host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)

@@ -75,15 +75,16 @@ def brand_of(page: dom.Page) -> str:
 def mask(norm: str, brand: str) -> str:
     if len(brand) > 1:
         norm = norm.replace(brand, "§")
-    if "0" in norm:
+    if "0 " in norm or " 0" in norm:
         norm = _MONTH.sub("µ", norm)
     return norm
 
 
 class Body:
-    """Lines inside the container of a page, with what is known of each from the page alone."""
+    """Lines inside the container of a page, with what is known of each from the page alone;
+    ``plain`` are the lines with the site's name and dates masked."""
 
-    __slots__ = ("page", "container", "lines", "norms", "kinds", "masks", "prose", "heading", "brand", "attr_words")
+    __slots__ = ("page", "container", "lines", "norms", "kinds", "masks", "prose", "heading", "brand", "attr_words", "plain")
 
 
 def _excluded(page: dom.Page, has_h1: list[bool]) -> list[bool]:
@@ -219,13 +220,14 @@ def segment(page: dom.Page) -> Body:
         linked = sum(1 for k in rest if lines[k][2] >= 0.8 * len(lines[k][1]))
         if rest and linked * 2 >= len(rest):
             dropped.update(ks)
-    body.lines, body.norms, body.kinds, body.masks = [], [], [], []
+    body.lines, body.norms, body.kinds, body.masks, body.plain = [], [], [], [], []
     body.heading = 0
     prose = 0
     seen_h1 = not h1
     for k in keep:
         node, text, link = lines[k]
         norm = dom.digits0(text.lower())
+        plain = mask(norm, body.brand)
         t = tag[node]
         if t == "h1":
             seen_h1 = True
@@ -249,7 +251,8 @@ def segment(page: dom.Page) -> Body:
             if n_words(norm) >= 12:
                 prose += 1
             kind = 1
-            m = hash64(mask(norm, body.brand))
+            m = hash64(plain)
+        body.plain.append(plain)
         body.lines.append(k)
         body.norms.append(norm)
         body.kinds.append(kind)
@@ -284,7 +287,7 @@ class Tree:
             todo.extend(reversed(page.kids[node]))
         self.tag = [page.tag[node] for node in nodes]
         self.lines = [at.get(node, ()) for node in nodes]
-        self.text = [tuple(mask(body.norms[j], body.brand) for j in ls) for ls in self.lines]
+        self.text = [tuple(body.plain[j] for j in ls) for ls in self.lines]
         self.kids = [[number[k] for k in page.kids[node]] for node in nodes]
         self.size, self.key, self.depth = [1] * len(nodes), [0] * len(nodes), 0
         deep = [1] * len(nodes)

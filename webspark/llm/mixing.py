@@ -4,8 +4,9 @@ The size of the mixture is the largest at which no source needs more than its al
 repeats.  Slots of ``block_tokens`` tokens are dealt to sources by a low-discrepancy
 schedule: the golden-ratio sequence mapped through the cumulative weights.  Each source's
 documents are shuffled anew for every repeat and packed into blocks by their running token
-count; the k-th slot of a source takes its k-th block.  A document belongs to the block in
-which it starts, so it is never split.
+count; the k-th slot of a source takes its k-th block.  A document belongs to the block that
+holds its middle, so it is never split, and what a source's blocks hold together differs from
+their nominal tokens by at most half a document, however many blocks there are.
 
 Running counts are taken inside hash buckets of bounded size and added up over buckets, so
 no source, however large, is sorted in one task.  Null, empty texts have no tokens and are
@@ -27,6 +28,8 @@ BLOCK_TOKENS = 512
 #: Tokens a bucket of the running count holds on average, and slots of the running rank.
 BUCKET_TOKENS = 2_000_000
 BUCKET_SLOTS = 500_000
+#: Sources of a mixture; their plan is made on the driver and broadcast.
+MAX_SOURCES = 10_000
 SEED = 17
 GOLDEN = (math.sqrt(5) - 1) / 2
 
@@ -34,13 +37,15 @@ GOLDEN = (math.sqrt(5) - 1) / 2
 def plan(counts: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> list[dict]:
     """One entry a source of ``targets``: tokens there are, weight, slots and repeats.
 
-    The result has a row for each row of the table of targets, which is a parameter of the
-    mixture and small."""
+    The result has a row for each source of the table of targets, which is a parameter of the
+    mixture, of at most ``MAX_SOURCES`` sources (more are an error)."""
     wanted = targets.groupBy("source").agg(
         F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
     )
     there = counts.groupBy("source").agg(F.sum(F.col("n_tokens").cast("bigint")).alias("tokens"))
-    rows = [r.asDict() for r in wanted.join(there, "source", "left").orderBy("source").collect()]
+    rows = [r.asDict() for r in wanted.join(there, "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()]
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"a mixture has at most {MAX_SOURCES} sources")
     for r in rows:
         r["tokens"] = r["tokens"] or 0
         r["live"] = r["tokens"] > 0 and r["target_share"] > 0 and r["max_repeats"] > 0
@@ -75,7 +80,7 @@ def _blocks(counts: DataFrame, rows: list[dict], block_tokens: int) -> DataFrame
     placed = uses.join(starts, ["source", "use_no", "bucket"]).withColumn(
         "at", (F.col("use_no") - 1) * F.col("tokens") + F.col("start") + F.coalesce(F.sum(F.col("n_tokens").cast("bigint")).over(inside), F.lit(0))
     )
-    return placed.select("source", F.expr(f"`at` div {block_tokens}").alias("block"), "doc_id", "use_no", "n_tokens")
+    return placed.select("source", F.expr(f"(`at` + n_tokens div 2) div {block_tokens}").alias("block"), "doc_id", "use_no", "n_tokens")
 
 
 def _slots(spark, rows: list[dict]) -> DataFrame:

@@ -95,11 +95,26 @@ def found(fetch: DataFrame) -> DataFrame:
     return repeated(staged(page_lines(fetch), "lines"))
 
 
+#: Repeated lines are broadcast up to this many; more meet the lines of pages under salts, so
+#: that the repeated line of the largest site is no single task's.
+FEW_LINES = 100_000
+SALTS = 32
+
+
+def without(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Anti-join of ``rows`` with ``lines`` on (site, line), whatever share of rows one key holds."""
+    lines = staged(lines, "repeated")
+    if lines.count() <= FEW_LINES:
+        return rows.join(F.broadcast(lines), ["site", "line"], "left_anti")
+    salted = lines.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("fetch_id"), F.lit(SALTS))).join(salted, ["site", "line", "salt"], "left_anti").drop("salt")
+
+
 def cleaned(fetch: DataFrame) -> DataFrame:
     """Each record's text without its site's repeated lines: ``(fetch_id, text, n_removed)``."""
     pages = staged(page_lines(fetch), "lines")
     rows = pages.select("fetch_id", "site", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    rest = rows.join(repeated(pages), ["site", "line"], "left_anti").groupBy("fetch_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    rest = without(rows, repeated(pages)).groupBy("fetch_id").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("x"))
     whole = pages.select("fetch_id", F.size("lines").alias("n"))
     return whole.join(rest, "fetch_id", "left").select(
         "fetch_id",
