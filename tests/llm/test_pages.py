@@ -197,9 +197,9 @@ def test_labels_spread_over_chains(spark):
         texts.append(" ".join(words))
     texts.append(" ".join(rng.choice(WORDS) for _ in range(300)))
     pages = spark.createDataFrame([(i, [t], [8 * 300], 0) for i, t in enumerate(texts)], "fetch_id bigint, lines array<string>, extra array<int>, notes int")
-    hashed = pages.mapInPandas(residue._sketched, "fetch_id bigint, label string, text string, sketch array<bigint>").withColumnRenamed("fetch_id", "text_id")
+    hashed = pages.mapInPandas(residue._sketched, "fetch_id bigint, label string, text string, sketch array<bigint>, n_runs int").withColumnRenamed("fetch_id", "text_id")
     trusted = spark.createDataFrame([(0,)], "text_id bigint")
-    got = {r[0] for r in residue.spread_sketches(hashed.select("text_id", "text", "sketch"), trusted).collect()}
+    got = {r[0] for r in residue.spread_sketches(hashed.select("text_id", "text", "sketch", "n_runs"), trusted).collect()}
     assert got == {0, 1, 2, 3}
 
 
@@ -245,7 +245,7 @@ def test_recall_of_edited_copies(spark):
         copy = edited(rng, base, 0.85)
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
         trusted.append((2 * k,))
-        x, y = (residue.shingles(t, residue.SHINGLE, residue.WordHashes()).tolist() for t in (base, copy))
+        x, y = (residue.runs(" ".join(t), residue.WordHashes()).tolist() for t in (base, copy))
         if jaccard(x, y) >= residue.MIN_SIMILARITY:
             want.add(2 * k + 1)
     texts = spark.createDataFrame(rows, "text_id bigint, text string")
@@ -258,8 +258,8 @@ def test_texts_rejected_by_the_first_of_a_sketch(spark):
     rng = random.Random(12)
     base = [rng.choice(WORDS) for _ in range(60)]
     far, near = " ".join(rng.choice(WORDS) for _ in range(60)), " ".join(base)
-    rows = [(1, far, [7] * 4), (2, near, [7] * 4), (3, near + " end", [7] * 4)]
-    texts = spark.createDataFrame(rows, "text_id bigint, text string, sketch array<bigint>")
+    rows = [(1, far, [7] * 4, 56), (2, near, [7] * 4, 56), (3, near + " end", [7] * 4, 57)]
+    texts = spark.createDataFrame(rows, "text_id bigint, text string, sketch array<bigint>, n_runs int")
     trusted = spark.createDataFrame([(1,), (2,)], "text_id bigint")
     assert {r[0] for r in residue.spread_sketches(texts, trusted).collect()} == {1, 2, 3}
 

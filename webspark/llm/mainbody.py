@@ -38,6 +38,7 @@ MONTHS = (
 _MONTH = re.compile(r"(?<=0\s)(?:de\s)?(?:" + "|".join(MONTHS) + r")\b|\b(?:" + "|".join(MONTHS) + r")(?=\s0)")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(?:dialog|alertdialog|navigation|banner|contentinfo|complementary|search|menu)", re.I)
 _COPYRIGHT = re.compile(r"^©\s*(?:[0-9]+\s*)?")
+_CJK = re.compile("[㐀-鿿]")
 _FINISHED = re.compile("[.!?。！？…][\"'”’»)\\]]*$")
 _KEEP = frozenset("h1 h2 td th li dt dd caption figcaption pre".split())
 _LOW = frozenset("h3 h4 h5 h6".split())
@@ -58,9 +59,7 @@ def hash64(text: str) -> int:
 
 def n_words(norm: str) -> int:
     n = norm.count(" ") + 1
-    if not norm.isascii():
-        n = len(dom.words(norm))
-    return n
+    return n if norm.isascii() or not _CJK.search(norm) else len(dom.words(norm))
 
 
 def brand_of(page: dom.Page) -> str:
@@ -224,6 +223,7 @@ def segment(page: dom.Page) -> Body:
     body.heading = 0
     prose = 0
     seen_h1 = not h1
+    quoted = "blockquote" in tag
     for k in keep:
         node, text, link = lines[k]
         norm = dom.digits0(text.lower())
@@ -245,7 +245,7 @@ def segment(page: dom.Page) -> Body:
             kind = 2
             first = members[group[node]][0]
             m = hash64("#" + mask(dom.digits0(lines[first][1].lower()), body.brand))
-        elif t in _KEEP or full_link or any(tag[a] == "blockquote" for a in page.ancestors(node)):
+        elif t in _KEEP or full_link or quoted and any(tag[a] == "blockquote" for a in page.ancestors(node)):
             kind = 0
         else:
             if n_words(norm) >= 12:

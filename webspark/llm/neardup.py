@@ -61,21 +61,25 @@ class WordHashes(dict):
         return h
 
 
-def shingles(ws: list[str], k: int, hashes: WordHashes, distinct: bool = True) -> np.ndarray:
-    """Distinct hashes of the runs of k words, sorted (else all, in order); a shorter text is
-    one run."""
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((hashes[w] for w in ws), np.uint64, len(ws))
-    k = min(k, len(h))
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k of the hashes ``h``, along the last axis."""
+    n = h.shape[-1] - k + 1
     with np.errstate(over="ignore"):
-        out = np.zeros(len(h) - k + 1, np.uint64)
+        out = np.zeros((*h.shape[:-1], n), np.uint64)
         for i in range(k):
-            out = (out ^ h[i : len(h) - k + 1 + i]) * _C1
+            out = (out ^ h[..., i : n + i]) * _C1
             out ^= out >> np.uint64(29)
         out *= _C2
         out ^= out >> np.uint64(32)
-    return np.unique(out) if distinct else out
+    return out
+
+
+def shingles(ws: list[str], k: int, hashes: WordHashes) -> np.ndarray:
+    """Distinct hashes of the runs of k words, sorted; a shorter text is one run."""
+    if not ws:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
+    return np.unique(mixed(h, min(k, len(h))))
 
 
 def signature(sh: np.ndarray) -> bytes:

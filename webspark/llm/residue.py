@@ -17,6 +17,7 @@ Null or empty html is never a case.  Equal texts are one text; labels go to all
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import dom
 from .common import staged
 from .mainbody import Body, clean_bodies, page_bodies
-from .neardup import WordHashes, shingles
+from .neardup import WordHashes, mixed
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -37,8 +38,10 @@ HASHES = 4
 MAX_BITS = 64
 TABLES = 36
 KEY_BITS = 24
+#: Keys looked up in one round are broadcast up to this many.
+FEW_PROBES = 200_000
 _RNG = np.random.RandomState(11)
-_MUL = [np.uint64(x) for x in _RNG.randint(1, 2**62, HASHES, dtype=np.int64) * 2 + 1]
+_MUL = (_RNG.randint(1, 2**62, HASHES, dtype=np.int64) * 2 + 1).astype(np.uint64)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _KEYS = np.array([_RNG.permutation(64 * HASHES)[:KEY_BITS] for _ in range(TABLES)])
 #: Residue phrases must cover this share of a main body's words,
@@ -104,13 +107,16 @@ _LATIN = frozenset(
 )
 _FILLER = frozenset(w + mark for w in _LATIN for mark in ("", ".", ",", ";", "...", "…", "!", "?"))
 _SCRIPTS = re.compile("javascript|script", re.I)
+_STOPS = frozenset(".!?…。！？")
+_OPEN_SIGN = re.compile(r"[{}%\[\]_<X]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
 
-def is_residue(norm: str, ws: list[str]) -> bool:
+def is_residue(norm: str, ws: list[str], maybe: bool = True) -> bool:
     """Whether a line is an error message, a notice or filler; a line of more than ``SHORT``
-    words by the words of the sentences that hold a phrase."""
-    if has_phrase(norm):
+    words by the words of the sentences that hold a phrase.  ``maybe`` is false where the page
+    is known to hold no phrase."""
+    if maybe and has_phrase(norm):
         if len(ws) <= SHORT:
             return True
         if sum(len(dom.words(x)) for x in _SENTENCE.split(norm) if has_phrase(x)) >= MIN_SHARE * len(ws):
@@ -122,6 +128,7 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
     """Words * 8 + heading * 4 + residue phrase * 2 + placeholder of each line; notes of the page."""
     page = body.page
     out = []
+    maybe = has_phrase("\n".join(body.norms)) or not _WHOLE.isdisjoint(body.norms)
     for j in use:
         k = body.lines[j]
         node, text, _ = page.lines[k]
@@ -130,9 +137,9 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
         for sample in page.code.get(node, ()):
             if sample:
                 open_text = open_text.replace(sample, " ")
-        held = 1 if any(c in open_text for c in "{}%[]_<X") and _PLACEHOLDER.search(open_text) else 0
+        held = 1 if _OPEN_SIGN.search(open_text) and _PLACEHOLDER.search(open_text) else 0
         ws = dom.words(norm)
-        phrase = 1 if is_residue(norm, ws) else 0
+        phrase = 1 if is_residue(norm, ws, maybe) else 0
         out.append(len(ws) * 8 + (page.tag[node] in dom.HEADINGS) * 4 + phrase * 2 + held)
     notes = 1 if _PLACEHOLDER.search(page.title) else 0
     if any(_SCRIPTS.search(t) for t in page.noscript):
@@ -141,39 +148,46 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
 
 
 def runs(text: str, hashes: WordHashes) -> np.ndarray:
-    """Distinct hashes of the runs of ``SHINGLE`` words inside each sentence (one a line of
-    ``text``); a shorter sentence is one run.  So a notice agrees with itself whatever heading
-    or other sentence stands beside it."""
-    out: list[np.ndarray] = []
-    long: list[str] = []
-    inside: list[int] = []
-    for sentence in text.split("\n"):
-        ws = dom.words(sentence)
-        if len(ws) >= SHINGLE:
-            long += ws
-            inside += [1] * (len(ws) - SHINGLE + 1) + [0] * (SHINGLE - 1)
-        elif ws:
-            out.append(shingles(ws, SHINGLE, hashes))
-    if long:
-        every = shingles(long, SHINGLE, hashes, distinct=False)
-        out.append(every[np.array(inside[: len(every)], bool)])
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+    """Distinct hashes of the runs of ``SHINGLE`` words inside the sentences of a text's lines;
+    a shorter sentence is one run.  So a notice agrees with itself whatever heading or other
+    sentence stands beside it."""
+    ws: list[str] = []
+    cuts: list[int] = []
+    for line in text.split("\n"):
+        ws += dom.words(line)
+        cuts.append(len(ws) - 1)
+    if not ws:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
+    last = np.fromiter([w[-1] in _STOPS for w in ws], bool, len(ws))
+    last[cuts] = True
+    ends = np.flatnonzero(last)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    size = ends - starts + 1
+    out = []
+    if len(ws) >= SHINGLE:
+        sentence = np.repeat(np.arange(len(size)), size)
+        out.append(mixed(h, SHINGLE)[sentence[: 1 - SHINGLE] == sentence[SHINGLE - 1 :]])
+    for k in range(1, SHINGLE):
+        at = starts[size == k]
+        if len(at):
+            out.append(mixed(h[at[:, None] + np.arange(k)], k)[:, 0])
+    return np.unique(np.concatenate(out))
 
 
 def sketch(sh: np.ndarray) -> np.ndarray:
     """``HASHES`` SimHashes of a set of run hashes; the first is of the hashes as they are."""
-    out = np.zeros(HASHES, np.int64)
-    if len(sh):
-        for i in range(HASHES):
-            h = sh
-            if i:
-                with np.errstate(over="ignore"):
-                    h = (sh ^ (sh >> np.uint64(31))) * _MUL[i]
-                    h = (h ^ (h >> np.uint64(29))) * _MIX
-                    h ^= h >> np.uint64(32)
-            ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-            out[i] = np.packbits(ones * 2 > len(sh), bitorder="little").view("<i8")[0]
-    return out
+    if not len(sh):
+        return np.zeros(HASHES, np.int64)
+    h = np.empty((len(sh), HASHES), np.uint64)
+    h[:, 0] = sh
+    with np.errstate(over="ignore"):
+        h[:, 1:] = (sh ^ (sh >> np.uint64(31)))[:, None] * _MUL[1:]
+        h[:, 1:] = (h[:, 1:] ^ (h[:, 1:] >> np.uint64(29))) * _MIX
+        h[:, 1:] ^= h[:, 1:] >> np.uint64(32)
+    bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+    ones = bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(ones * 2 > len(sh), bitorder="little").view("<i8")
 
 
 def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,24 +207,25 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 label = "residue"
             else:
                 label = ""
-            plain = [line for line, x in zip(lines, extra) if not x & 4]
-            text = "\n".join(part for line in plain or lines for part in _SENTENCE.split(line))
-            bits = sketch(runs(text, hashes))
-            rows.append((fetch_id, label, text, bits))
-        yield pd.DataFrame(rows, columns=["fetch_id", "label", "text", "sketch"])
+            text = "\n".join([line for line, x in zip(lines, extra) if not x & 4] or lines)
+            sh = runs(text, hashes)
+            rows.append((fetch_id, label, text, sketch(sh), len(sh)))
+        yield pd.DataFrame(rows, columns=["fetch_id", "label", "text", "sketch", "n_runs"])
 
 
 def labelled(fetch: DataFrame) -> DataFrame:
-    """``(fetch_id, label, text, sketch)`` of each record with html, labels by rule alone."""
+    """``(fetch_id, label, text, sketch, n_runs)`` of each record with html, labels by rule alone."""
     bodies = clean_bodies(staged(page_bodies(fetch, extra=_features), "bodies"))
-    return bodies.mapInPandas(_sketched, "fetch_id bigint, label string, text string, sketch array<bigint>")
+    return bodies.mapInPandas(_sketched, "fetch_id bigint, label string, text string, sketch array<bigint>, n_runs int")
 
 
 def _resketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for pdf in batches:
-        pdf["sketch"] = [sketch(runs(t, hashes)) for t in pdf["text"]]
-        yield pdf[["text_id", "text", "sketch"]]
+        every = [runs(t, hashes) for t in pdf["text"]]
+        pdf["sketch"] = [sketch(sh) for sh in every]
+        pdf["n_runs"] = [len(sh) for sh in every]
+        yield pdf[["text_id", "text", "sketch", "n_runs"]]
 
 
 def keys(sketches: np.ndarray) -> np.ndarray:
@@ -227,9 +242,8 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sketch_tables(texts: DataFrame) -> DataFrame:
-    """A row for each table of each different sketch: ``(sketch_id, key)``."""
-    each = texts.select("sketch_id", "sketch").dropDuplicates(["sketch_id"])
-    each = each.mapInPandas(_keyed, "sketch_id bigint, keys array<bigint>")
+    """A row for each table of each sketch: ``(sketch_id, key)``."""
+    each = texts.select("sketch_id", "sketch").mapInPandas(_keyed, "sketch_id bigint, keys array<bigint>")
     return each.select("sketch_id", F.explode("keys").alias("key"))
 
 
@@ -244,34 +258,44 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["text_id"]]
 
 
-def spread_sketches(texts: DataFrame, trusted: DataFrame) -> DataFrame:
+def spread_sketches(texts: DataFrame, trusted: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Ids of all texts linked, over any number of links, to a trusted text.
 
-    ``texts`` has ``(text_id, text, sketch)`` of the different texts (sketches are made where
-    they are missing), ``trusted`` ids.  Each round meets only the texts labelled in the round
-    before with the tables.  Of texts with one sketch the least is compared first; those it
-    rejects meet all the others.
+    ``texts`` has ``(text_id, sketch, n_runs)`` of the different texts (the last two are made
+    where they are missing, from a column ``text``), ``trusted`` ids, ``source`` the texts
+    ``(text_id, text)``, which may repeat; only those of candidates are moved.  Each round meets only the texts labelled in
+    the round before with the tables, and makes tables only of texts whose number of runs lets
+    them be similar enough: texts are in bands of ``1 / MIN_SIMILARITY``, and a link joins
+    equal or neighbouring bands.  Of texts with one sketch the least is compared first; those
+    it rejects meet all the others.
     """
     if "sketch" not in texts.columns:
-        texts = staged(texts.select("text_id", "text").mapInPandas(_resketched, "text_id bigint, text string, sketch array<bigint>"), "sketches")
-    texts = texts.withColumn("sketch_id", F.xxhash64("sketch"))
+        texts = staged(texts.select("text_id", "text").mapInPandas(_resketched, "text_id bigint, text string, sketch array<bigint>, n_runs int"), "sketches")
+    source = texts.select("text_id", "text") if source is None else source
+    band = F.floor(F.log(F.greatest("n_runs", F.lit(1))) / F.lit(math.log(1 / MIN_SIMILARITY)) + F.lit(1e-9)).cast("int")
+    texts = texts.withColumn("band", band).withColumn("sketch_id", F.xxhash64("sketch", "band"))
     free = texts.join(trusted, "text_id", "left_anti")
-    sketches = staged(free.select("sketch_id", "sketch").dropDuplicates(["sketch_id"]), "sketches")
-    tables = staged(_sketch_tables(sketches), "tables")
+    sketches = staged(free.select("sketch_id", "sketch", "band").dropDuplicates(["sketch_id"]), "sketches")
     flips = F.concat(F.array(F.col("key")), *(F.array(F.col("key").bitwiseXOR(F.lit(1 << b))) for b in range(KEY_BITS)))
     distance = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other")[i])) for i in range(HASHES))
 
     def agreed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select("text_id", F.col("text").alias("text_a")), "text_id").join(
-            texts.select(F.col("text_id").alias("from_id"), F.col("text").alias("text_b")), "from_id"
-        )
+        pairs = staged(pairs, "pairs")
+        ids = pairs.select(F.explode(F.array("text_id", "from_id")).alias("text_id")).distinct()
+        held = staged(source.join(ids, "text_id", "left_semi").dropDuplicates(["text_id"]), "held")
+        both = pairs.join(held.withColumnRenamed("text", "text_a"), "text_id").join(held.select(F.col("text_id").alias("from_id"), F.col("text").alias("text_b")), "from_id")
         return staged(both.mapInPandas(_agree, "text_id bigint").distinct(), "spread")
 
     known = new = trusted
     while True:
-        front = staged(texts.join(new, "text_id", "left_semi").select(F.col("text_id").alias("from_id"), "sketch_id", "sketch"), "front")
-        probes = _sketch_tables(front).select(F.col("sketch_id").alias("from_sketch"), F.explode(flips).alias("key"))
-        met = tables.join(probes, "key").select("sketch_id", "from_sketch").distinct()
+        front = staged(texts.join(new, "text_id", "left_semi").select(F.col("text_id").alias("from_id"), "sketch_id", "sketch", "band"), "front")
+        # A band is a power of 1.25, so there are fewer than a hundred.
+        bands = {r["band"] + d for r in front.select("band").distinct().collect() for d in (-1, 0, 1)}
+        tables = _sketch_tables(sketches.where(F.col("band").isin(sorted(bands))))
+        probes = _sketch_tables(front.dropDuplicates(["sketch_id"])).select(F.col("sketch_id").alias("from_sketch"), F.explode(flips).alias("key"))
+        # What a text looks up is many times its own size, so the plan cannot know its size.
+        few = front.count() * TABLES * (KEY_BITS + 1) <= FEW_PROBES
+        met = tables.join(F.broadcast(probes) if few else probes.hint("merge"), "key").select("sketch_id", "from_sketch").distinct()
         other = front.select(F.col("sketch_id").alias("from_sketch"), F.col("sketch").alias("other")).dropDuplicates(["from_sketch"])
         links = met.join(sketches, "sketch_id").join(other, "from_sketch").where(distance <= MAX_BITS).select("sketch_id", "from_sketch")
         left = free.select("text_id", "sketch_id").join(known, "text_id", "left_anti")
@@ -291,9 +315,15 @@ def labels(fetch: DataFrame) -> DataFrame:
     """Residue pages with the reason: ``(fetch_id, label)``; label is placeholder, residue,
     scripts or near_duplicate."""
     pages = staged(labelled(fetch).withColumn("text_id", F.xxhash64("text")), "texts")
-    texts = pages.where("text <> ''").groupBy("text_id").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch"), F.max((F.col("label") == "residue").cast("int")).alias("trusted"))
+    # All of fixed width, so the texts themselves are neither sorted nor shuffled.
+    texts = (
+        pages.where("text <> ''")
+        .groupBy("text_id")
+        .agg(*(F.first(F.col("sketch")[i]).alias(f"s{i}") for i in range(HASHES)), F.first("n_runs").alias("n_runs"), F.max((F.col("label") == "residue").cast("int")).alias("trusted"))
+        .select("text_id", F.array(*(f"s{i}" for i in range(HASHES))).alias("sketch"), "n_runs", "trusted")
+    )
     texts = staged(texts, "distinct")
-    all_ids = spread_sketches(texts.select("text_id", "text", "sketch"), texts.where("trusted = 1").select("text_id"))
+    all_ids = spread_sketches(texts.select("text_id", "sketch", "n_runs"), texts.where("trusted = 1").select("text_id"), pages.select("text_id", "text"))
     by_rule = pages.where("label <> ''").select("fetch_id", "label")
     spread = pages.where("label = ''").join(all_ids, "text_id", "left_semi").select("fetch_id", F.lit("near_duplicate").alias("label"))
     return by_rule.unionAll(spread)
