@@ -40,19 +40,6 @@ def hybrid_fallback(fetch_results):
     return hybrid(fetch_results)
 
 
-@query(
-    "seed_urls",
-    sql="""WITH o AS (SELECT *, CASE source WHEN 'alpha' THEN 0 WHEN 'beta' THEN 1 ELSE 2 END AS ord FROM seed_urls WHERE url IS NOT NULL)
-    SELECT url, title, source, seed_rank FROM o WHERE ord = (SELECT min(ord) FROM o)""",
-)
-def provider_fallback(seed_urls):
-    """Results of the first provider, in order, that gave any."""
-    rows = seed_urls.where("url is not null").withColumn("ord", source_order(F.col("source"), {"alpha": 0, "beta": 1}))
-    rows = rows.withColumn("ord", F.least("ord", F.lit(2)))
-    first = rows.agg(F.min("ord").alias("ord"))
-    return rows.join(F.broadcast(first), "ord", "left_semi").select("url", "title", "source", "seed_rank")  # one row, whatever the data
-
-
 # -- Seeds ------------------------------------------------------------------------------------
 
 _ORD = "CASE source " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in SOURCE_ORDER.items()) + " ELSE 99 END"
@@ -316,19 +303,3 @@ def links_not_recommended(analysis_results, extracted_links):
     li = extracted_links.where("is_internal and url is not null").select("fetch_id", "url").distinct()
     r = analysis_results.select("fetch_id", F.explode("prioritized_urls").alias("p")).select("fetch_id", F.col("p.url").alias("url"))
     return dedup.only_in(li, analysis_results, "fetch_id").join(r, ["fetch_id", "url"], "left_anti")
-
-
-@query(
-    "analysis_results",
-    "fetch_results",
-    sql="""WITH p AS (SELECT fetch_id, analysis_id, unnest(prioritized_urls) AS p, unnest(range(len(prioritized_urls))) AS pos FROM analysis_results),
-    d AS (SELECT fetch_id, analysis_id, pos, p.url AS url, greatest(1, least(3, coalesce(p.priority, 2))) AS priority, row_number() OVER (PARTITION BY analysis_id, p.url ORDER BY pos) AS k FROM p),
-    r AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY priority, pos) AS rank FROM d WHERE k = 1 AND url IS NOT NULL AND url <> '')
-    SELECT analysis_id, CAST(rank AS INT) AS rank, url, priority, 1 AS depth FROM r WHERE rank <= 10""",
-)
-def enqueue_discovered(analysis_results, fetch_results):
-    """Recommended urls for the frontier: first of equal ones, priorities clamped, ten a page."""
-    p = analysis_results.select("analysis_id", F.posexplode("prioritized_urls").alias("pos", "p"))
-    p = p.select("analysis_id", "pos", F.col("p.url").alias("url"), F.greatest(F.lit(1), F.least(F.lit(3), F.coalesce("p.priority", F.lit(2)))).alias("priority"))
-    p = dedup.first_by(p.where("url is not null and url <> ''"), ["analysis_id", "url"], "pos")
-    return top_per(p, ["analysis_id"], 10, "priority", "pos").select("analysis_id", "rank", "url", "priority", F.lit(1).alias("depth"))

@@ -57,39 +57,6 @@ def links_v1(extracted_links):
     return dedup.first_by(ok, ["fetch_id", "url"], "link_no", "text").select("fetch_id", "link_no", "url", U.classify(F.col("url"), U.LINK_CLASSES_V1).alias("type"))
 
 
-@query(
-    "extracted_links",
-    sql=f"""WITH d AS (SELECT DISTINCT fetch_id, link_no, url FROM extracted_links WHERE url IS NOT NULL), t AS (SELECT *, {sql_class('url', U.LINK_CLASSES_V1)} AS type FROM d),
-    r AS (SELECT *, row_number() OVER (PARTITION BY fetch_id, type IN ('academic', 'research') ORDER BY link_no, url) AS k FROM t)
-    SELECT fetch_id, link_no, url, type FROM r WHERE type IN ('academic', 'research') OR k <= 5""",
-)
-def link_prefilter(extracted_links):
-    """Prefilter of long link lists: all of the priority types and the first of the others."""
-    t = extracted_links.where("url is not null").select("fetch_id", "link_no", "url").distinct().withColumn("type", U.classify(F.col("url"), U.LINK_CLASSES_V1))
-    prior = F.col("type").isin("academic", "research")
-    return t.where(prior).unionByName(top_per(t.where(~prior), ["fetch_id"], 5, "link_no", "url", rank="k").drop("k"))
-
-
-@query(
-    "analysis_results",
-    sql="""WITH a AS (SELECT analysis_id, success, CASE WHEN isnan(relevance_score) THEN NULL ELSE relevance_score END AS c, extracted_data FROM analysis_results)
-    SELECT analysis_id, coalesce(c, 0.5) AS confidence, coalesce(c, 0.5) < 0.6 OR extracted_data IS NOT NULL AS analyse_v2, coalesce(c, 0.5) >= 0.6 AND coalesce(json_extract_string(extracted_data, '$.topic'), '') <> '' AS extract_v1,
-    coalesce(c, 0) > 0.7 AS highly_relevant, coalesce(json_extract_string(extracted_data, '$.topic'), 'other') AS topic FROM a""",
-)
-def analysis_gates(analysis_results):
-    """Gates in front of the costly steps; refused rows are split off before a provider sees them."""
-    c = F.when(~F.isnan("relevance_score"), F.col("relevance_score"))
-    topic = F.get_json_object("extracted_data", "$.topic")
-    return analysis_results.select(
-        "analysis_id",
-        F.coalesce(c, F.lit(0.5)).alias("confidence"),
-        ((F.coalesce(c, F.lit(0.5)) < 0.6) | F.col("extracted_data").isNotNull()).alias("analyse_v2"),
-        ((F.coalesce(c, F.lit(0.5)) >= 0.6) & (F.coalesce(topic, F.lit("")) != "")).alias("extract_v1"),
-        (F.coalesce(c, F.lit(0.0)) > 0.7).alias("highly_relevant"),
-        F.coalesce(topic, F.lit("other")).alias("topic"),
-    )
-
-
 _QT = "lower(substr(coalesce(title, ''), 1, 100) || ' ' || substr(coalesce(text, ''), 1, 300))"
 
 
@@ -221,22 +188,3 @@ def html_cards(analysis_results):
         "analysis_id",
         F.concat(F.lit('<div class="card"><h3>'), safe(F.coalesce("url", F.lit(""))), F.lit("</h3><p>"), safe(F.substring(F.coalesce("summary", F.lit("")), 1, 200)), F.lit("</p></div>")).alias("card"),
     )
-
-
-@query(
-    "documents",
-    sql="""SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'other' WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) < 20 THEN 'navigation' ELSE 'content' END AS page_class,
-    CASE WHEN coalesce(text, '') = '' THEN 0.5 ELSE 0.8 END AS confidence, substr(coalesce(text, ''), 1, 300) AS fallback_summary, CAST(NULL AS VARCHAR) AS model_answer FROM documents""",
-)
-def rule_classes(documents):
-    """Classes and summaries that stand in for a model's: the rules' answers as one record."""
-    t = F.col("text")
-    empty = F.coalesce(t, F.lit("")) == ""
-    n = F.size(F.filter(F.split(t, r"[\s&&[^\x0b]]+"), lambda w: w != ""))
-    return documents.select(
-        "doc_id",
-        F.when(empty, "other").when(n < 20, "navigation").otherwise("content").alias("page_class"),
-        F.when(empty, 0.5).otherwise(0.8).alias("confidence"),
-        F.substring(F.coalesce(t, F.lit("")), 1, 300).alias("fallback_summary"),
-        F.lit(None).cast("string").alias("model_answer"),
-    )

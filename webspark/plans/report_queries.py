@@ -45,22 +45,6 @@ def json_extract(documents):
     )
 
 
-@query("events", sql="SELECT event_id, 'props.k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
-def json_flatten(events):
-    """Nested values as dotted keys."""
-    m = F.from_json("props", "map<string,string>")
-    return events.select("event_id", F.explode(m).alias("k", "value")).select("event_id", F.concat(F.lit("props."), F.col("k")).alias("key"), "value")
-
-
-@query("events", sql="SELECT event_type, count(*) AS n_values, count(DISTINCT json_extract_string(props, '$.k')) AS n_unique, list_sort(list_distinct(list(json_extract_string(props, '$.k')) FILTER (WHERE json_extract_string(props, '$.k') IS NOT NULL)))[1:10] AS shown FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY event_type")
-def data_rollup(events):
-    """Values by key: all counted, ten unique ones shown."""
-    v = events.select("event_type", F.get_json_object("props", "$.k").alias("v")).where("v is not null")
-    by = v.groupBy("event_type", "v").agg(F.count("*").alias("n"))
-    first = top_per(by, ["event_type"], 10, "v", rank="r").groupBy("event_type").agg(F.array_sort(F.collect_list("v")).alias("shown"))
-    return by.groupBy("event_type").agg(F.sum("n").alias("n_values"), F.count("*").alias("n_unique")).join(first, "event_type")
-
-
 @query(
     "queue_items",
     sql="""SELECT DISTINCT url, parent_url, coalesce(context['link_type'], 'none') AS link_type, CAST(cardinality(context) AS INT) AS n_context,
@@ -162,20 +146,6 @@ def keyword_top5(documents):
     return k.orderBy(F.desc("n"), "first", "keyword").limit(5).select("keyword", "n")
 
 
-@query(
-    "analysis_results",
-    sql="""WITH a AS (SELECT analysis_id, unnest(key_findings) AS finding, unnest(range(len(key_findings))) AS pos FROM analysis_results WHERE success),
-    b AS (SELECT 1 AS part, analysis_id, pos, finding FROM a UNION ALL SELECT 2, analysis_id, 0, substr(summary, 1, 100) || '...' FROM analysis_results WHERE success AND relevance_score > 0.7 AND NOT isnan(relevance_score) AND coalesce(summary, '') <> '')
-    SELECT part, analysis_id, CAST(pos AS INT) AS pos, finding FROM b ORDER BY part DESC, analysis_id, pos LIMIT 15""",
-)
-def key_findings(analysis_results):
-    """Findings and summaries of the most relevant pages, fifteen at most."""
-    ok = analysis_results.where("success")
-    a = ok.select(F.lit(1).alias("part"), "analysis_id", F.posexplode("key_findings").alias("pos", "finding"))
-    b = ok.where("relevance_score > 0.7 and not isnan(relevance_score) and coalesce(summary, '') <> ''").select(F.lit(2).alias("part"), "analysis_id", F.lit(0).alias("pos"), F.concat(F.substring("summary", 1, 100), F.lit("...")).alias("finding"))
-    return a.unionByName(b).orderBy(F.desc("part"), "analysis_id", "pos").limit(15)
-
-
 @query("analysis_results")
 def report_sections(analysis_results):
     """Markdown sections of pages (checked on fixtures)."""
