@@ -43,7 +43,7 @@ def test_resolution(spark, href, want):
 
 
 def test_resolution_with_dots(spark):
-    assert one(spark, "../d#z", lambda h: U.normalize(links.resolve_dots(h, F.lit("https://www.stanford.edu/a/b")))) == "https://www.stanford.edu/d"
+    assert one(spark, "../d#z", lambda h: U.normalize(U.without_dots(U.resolve(h, F.lit("https://www.stanford.edu/a/b"))))) == "https://www.stanford.edu/d"
 
 
 def test_hashes(spark):
@@ -158,3 +158,21 @@ def test_crawl_levels(spark):
     assert {r.url: r.depth for r in one_by_one} == got and len({r.round for r in one_by_one}) == 5
     assert frontier.crawl(seeds, edges, 3, max_pages=2).count() == 2
     assert frontier.crawl(seeds.limit(0), edges, 3).count() == 0
+
+
+def test_left_open_anchors(spark):
+    html = '<p><a href=/one>one<p><a href="/two">two</a> tail <a>x</a><A HREF=\'/three\' title="named"></a><a href=/four>four <b>bold</b></div>rest<script>"<a href=/no>no</a>"</script>'
+    df = spark.createDataFrame([(1, "http://s.test/", "http://s.test/", html)], "fetch_id bigint, url string, final_url string, html string")
+    assert [(r.href, r.text) for r in links.anchors(df).orderBy("pos").collect()] == [("/one", "one"), ("/two", "two"), ("/three", "named"), ("/four", "four bold")]
+
+
+def test_exploration_draws_from_the_best_that_are_left(spark):
+    rows = [(1 + i // 40, 0, i, f"http://s.test/{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "priority int, depth int, seq int, url string")
+    assert [r.seq for r in frontier.explore(df, 10, 0.0, 1).collect()] == list(range(10))
+    got = [r.seq for r in frontier.explore(df, 20, 1.0, 1).collect()]
+    assert got == [r.seq for r in frontier.explore(df, 20, 1.0, 1).collect()] and len(set(got)) == 20
+    left = list(range(31))
+    for seq in got:  # each among the eleven best at its place
+        assert left.index(seq) < 11
+        left.remove(seq)

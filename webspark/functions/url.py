@@ -124,8 +124,7 @@ def same_domain_v2(a: Column, b: Column) -> Column:
 
 
 def resolve(href: Column, base: Column) -> Column:
-    """Absolute form of a reference without dot segments (RFC 3986); see
-    ``operators.links.resolve_dots`` for those with dot segments."""
+    """Absolute form of a reference (RFC 3986); ``without_dots`` takes dot segments out."""
     scheme, loc, dir_ = part(base, 1), netloc(base), F.regexp_replace(part(base, 3), "[^/]*$", "")
     root = F.concat(scheme, F.lit("://"), loc)
     whole = F.regexp_replace(base, "#.*$", "")
@@ -140,6 +139,18 @@ def resolve(href: Column, base: Column) -> Column:
     )
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute url with the dot segments of its path taken out, as a fold over segments."""
+    p = part(url, 3)
+    segments = F.split(F.regexp_replace(p, "^/", ""), "/")
+    up = lambda x: F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda x, s: F.when(s == "..", up(x)).when(s == ".", x).otherwise(F.concat(x, F.array(s))))
+    tail = F.when(p.rlike(r"(?:^|/)\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    path = F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
+    rest = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    return F.when(p.rlike(r"(?:^|/)\.{1,2}(?:/|$)"), F.concat(F.regexp_extract(url, "^((?:[^:/?#]+:)?(?://[^/?#]*)?)", 1), path, rest)).otherwise(url)
+
+
 def is_internal(link: Column, base: Column) -> Column:
     """The page's netloc is a substring of the link's; an empty one is in any."""
     return F.contains(netloc(link), netloc(base))

@@ -10,7 +10,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from hashlib import blake2b
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,10 @@ from .links import filter_reason
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where it is unset and all
+    runs on one machine."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return (spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "webspark-shared")).rstrip("/")
 
 
@@ -47,10 +53,16 @@ def insert_status(items: DataFrame, order: list[str], max_depth: int = 3, allowe
         rows = rows.join(seen.select("url_hash", F.lit(True).alias("known")).distinct(), "url_hash", "left")
     else:
         rows = rows.withColumn("known", F.lit(None).cast("boolean"))
-    # Ranks among admitted rows only: refused rows go aside before the window.
+    # The first of a url is an aggregate, combined map-side, so a url that holds a tenth of all
+    # rows is not ranked in one task; only rows equal to the first in every column of the
+    # order are told apart by rank.
     open_rows = rows.where("pre is null")
+    first = open_rows.groupBy("url_hash").agg(F.min(F.struct(*order)).alias("_first"))
+    open_rows = open_rows.join(first, "url_hash").withColumn("_late", F.struct(*order) != F.col("_first"))
+    late = open_rows.where("_late").withColumn("status", F.lit("duplicate"))
     rank = F.row_number().over(Window.partitionBy("url_hash").orderBy(*order))
-    open_rows = open_rows.withColumn("status", F.when(F.col("known") | (rank > 1), "duplicate").otherwise("added"))
+    early = open_rows.where("not _late").withColumn("status", F.when(F.col("known") | (rank > 1), "duplicate").otherwise("added"))
+    open_rows = early.unionByName(late).drop("_first", "_late")
     shut = rows.where("pre is not null").withColumn("status", F.col("pre"))
     return open_rows.unionByName(shut).drop("pre", "known")
 
@@ -62,10 +74,22 @@ def pop(frontier: DataFrame, n: int, *order: str) -> DataFrame:
 
 def explore(frontier: DataFrame, n: int, epsilon: float, seed: int, pool: int = 11) -> DataFrame:
     """``n`` next items; each place goes, with probability ``epsilon``, to one of the ``pool``
-    best, chosen by a seeded hash, so a run repeats exactly."""
-    ranked = frontier.orderBy("priority", "depth", "seq").limit(n + pool).withColumn("h", F.xxhash64(F.lit(seed), "url"))
-    lucky = F.pmod("h", F.lit(1000)) < int(epsilon * 1000)
-    return ranked.orderBy(F.when(lucky, 0).otherwise(1), "priority", "depth", "seq").limit(n).drop("h")
+    best that are left, chosen by a seeded hash, so a run repeats exactly.
+
+    Only the best ``n + pool`` rows are drawn from, in one task: ``n`` is the size of a batch.
+    """
+    columns = frontier.columns
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=columns), *batches]).sort_values(["priority", "depth", "seq"])
+        left, order = list(range(len(rows))), []
+        while left and len(order) < n:
+            h = blake2b(f"{seed} {len(order)}".encode(), digest_size=8).digest()
+            lucky = int.from_bytes(h[:4], "little") % 1000 < int(epsilon * 1000)
+            order.append(left.pop(int.from_bytes(h[4:], "little") % min(pool, len(left)) if lucky else 0))
+        yield rows.iloc[order]
+
+    return frontier.orderBy("priority", "depth", "seq").limit(n + pool).coalesce(1).mapInPandas(draw, frontier.schema)
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int, batch: int | None = None, max_pages: int | None = None) -> DataFrame:

@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions import html as H
 from ..functions import url as U
@@ -16,21 +12,27 @@ from ..functions.text import collapse
 from .dedup import first_by
 from .rank import top_per
 
-_ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a\s*>"
 _HREF = r"(?is)(?:^|\s)href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))"
 
 
+#: What ends the text of an anchor that is left open: the next anchor and any block element.
+_ANCHOR_END = r"(?is)(?:</a\b|<a>|</?(?:p|div|li|ul|ol|dl|dt|dd|td|th|tr|table|h[1-6]|section|article|nav|footer|header|aside|main|blockquote|form|body|html)\b).*$"
+
+
 def anchors(pages: DataFrame) -> DataFrame:
     """``(fetch_id, base, pos, href, text)`` of every anchor; comments and scripts are skipped.
 
     Pages are projected away before the explode, so html never travels with the links.
     """
     page = F.regexp_replace(H.drop(H.drop(F.col("html"), "script"), "style"), "(?s)<!--.*?-->", "")
-    both = F.arrays_zip(F.regexp_extract_all(page, F.lit(_ANCHOR), 1).alias("a"), F.regexp_extract_all(page, F.lit(_ANCHOR), 2).alias("t"))
-    rows = pages.where("html is not null").select("fetch_id", F.coalesce("final_url", "url").alias("base"), F.posexplode(both).alias("pos", "x"))
-    attr = F.col("x.a")
+    # A start tag begins an anchor whether or not the one before was closed.
+    starts = F.split(page, r"(?i)<a\s")
+    pieces = F.filter(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), lambda x: F.contains(x, F.lit(">")))
+    rows = pages.where("html is not null").select("fetch_id", F.coalesce("final_url", "url").alias("base"), F.posexplode(pieces).alias("pos", "x"))
+    attr = F.substring_index("x", ">", 1)
     href = F.concat(*(F.coalesce(F.regexp_extract(attr, _HREF, i), F.lit("")) for i in (1, 2, 3)))
-    label = collapse(H.unescape(H.strip_tags(F.col("x.t"))))
+    inner = F.regexp_replace(F.substring(F.col("x"), F.length(attr) + 2, F.length("x")), _ANCHOR_END, "")
+    label = collapse(H.unescape(H.strip_tags(inner)))
     titled = F.regexp_extract(attr, r"(?is)(?:^|\s)title\s*=\s*[\"']([^\"']*)", 1)
     return rows.select("fetch_id", "base", "pos", F.trim(H.unescape(href)).alias("href"), F.when(label != "", label).otherwise(titled).alias("text"))
 
@@ -65,18 +67,6 @@ def extract_v2(links: DataFrame) -> DataFrame:
     return first_by(ok, ["fetch_id", "key"], F.desc("priority"), "link_no", "url").drop("key")
 
 
-@F.pandas_udf(StringType())
-def resolve_dots(href: pd.Series, base: pd.Series) -> pd.Series:
-    """Absolute form of references, dot segments included."""
-    out = []
-    for h, b in zip(href, base):
-        try:
-            out.append(urljoin(b or "", h or ""))
-        except ValueError:
-            out.append(h)
-    return pd.Series(out)
-
-
 def filter_reason(url: Column, allowed: list[str], patterns: list[str] = U.EXCLUDE_PATTERNS, extensions: list[str] = U.EXCLUDED_EXTENSIONS) -> Column:
     """Why a url is not admitted, first failure first; 'allowed' if it is."""
     low_path = F.lower(U.part(url, 3))

@@ -25,11 +25,6 @@ def source_order(source: Column, order: dict[str, int] = SOURCE_ORDER) -> Column
     return out.otherwise(99)
 
 
-def frontier_score(base: Column, ai: Column, bonus: Column, depth: Column, penalty: float = 0.1) -> Column:
-    """Score of the float-priority frontier; smaller comes first."""
-    return -(base + ai * 2 + bonus - depth * F.lit(penalty))
-
-
 def running_rank(df: DataFrame, keys: list[str], order: str, width: int = 1_000_000, rank: str = "rank") -> DataFrame:
     """Rank of each row within its key by a whole-number column, from 1.
 

@@ -219,9 +219,17 @@ def frontier_counts(queue_items):
     return sets.select(what.alias("what"), F.coalesce("priority", "depth", "clamped").alias("value"), "n")
 
 
-@query("extracted_links", "fetch_results")
+@query(
+    "extracted_links",
+    "fetch_results",
+    sql=f"""WITH RECURSIVE pages AS (SELECT fetch_id, {sql_norm('final_url')} AS src FROM fetch_results WHERE final_url IS NOT NULL),
+    edges AS (SELECT DISTINCT p.src, {sql_norm('l.url')} AS dst FROM extracted_links l JOIN pages p USING (fetch_id) WHERE l.url IS NOT NULL),
+    seeds AS (SELECT min(src) AS url FROM pages GROUP BY {host('src')}),
+    b(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT e.dst, b.depth + 1 FROM b JOIN edges e ON e.src = b.url WHERE b.depth < 2)
+    SELECT url, min(depth) AS depth, min(depth) AS round FROM b GROUP BY url""",
+)
 def bfs_levels(extracted_links, fetch_results):
-    """Levels of a breadth-first crawl along stored links, from pages of one site (checked on fixtures)."""
+    """Levels of a breadth-first crawl along stored links, from one page of each site."""
     pages = fetch_results.where("final_url is not null").select("fetch_id", U.normalize(F.col("final_url")).alias("src"))
     edges = extracted_links.where("url is not null").select("fetch_id", U.normalize(F.col("url")).alias("dst")).join(pages, "fetch_id").select("src", "dst").distinct()
     seeds = pages.groupBy(U.host(F.col("src")).alias("h")).agg(F.min("src").alias("url")).select("url")

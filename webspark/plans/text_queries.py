@@ -212,10 +212,11 @@ def contacts(documents):
 
 
 _P = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g')"
-_A = "(?is)<a\\s([^>]*)>(.*?)</a\\s*>"
 _HREF = links._HREF.replace("'", "''")
-LINKS_SQL = f"""a AS (SELECT fetch_id, coalesce(final_url, url, '') AS base, unnest(range(len(regexp_extract_all({_P}, '{_A}', 1)))) AS pos,
-    unnest(regexp_extract_all({_P}, '{_A}', 1)) AS attr, unnest(regexp_extract_all({_P}, '{_A}', 2)) AS inner_html FROM fetch_results WHERE html IS NOT NULL),
+_PIECES = f"list_filter(string_split_regex({_P}, '(?i)<a\\s')[2:], lambda x: contains(x, '>'))"
+_END = links._ANCHOR_END
+LINKS_SQL = f"""z AS (SELECT fetch_id, coalesce(final_url, url, '') AS base, {_PIECES} AS xs FROM fetch_results WHERE html IS NOT NULL),
+    a AS (SELECT fetch_id, base, pos, regexp_extract(x, '(?s)^([^>]*)>', 1) AS attr, regexp_replace(regexp_replace(x, '(?s)^[^>]*>', ''), '{_END}', '') AS inner_html FROM (SELECT fetch_id, base, unnest(range(len(xs))) AS pos, unnest(xs) AS x FROM z)),
     b AS (SELECT fetch_id, base, pos, trim({unescape("(regexp_extract(attr, '" + _HREF + "', 1) || regexp_extract(attr, '" + _HREF + "', 2) || regexp_extract(attr, '" + _HREF + "', 3))")}) AS href,
       {collapse(unescape(strip_tags('inner_html')))} AS label, regexp_extract(attr, '(?is)(?:^|\\s)title\\s*=\\s*["'']([^"'']*)', 1) AS titled FROM a),
     c AS (SELECT *, CASE WHEN label <> '' THEN label ELSE titled END AS text FROM b WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:|tel:)'))"""
@@ -256,26 +257,52 @@ def link_cap_internal_first(fetch_results):
     return links.extract(fetch_results)
 
 
-@query("documents")
+def _windows(end: str, size: int, overlap: int, first: str, keep: str, shown: str, short: str = "") -> str:
+    """SQL of windows as a recursion over their starts; ``end`` is the end of the one at ``s``."""
+    step = f"CASE WHEN e < n THEN e - {overlap} ELSE e END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE coalesce(text, '') <> ''),
+    w(doc_id, text, n, s, e) AS (SELECT doc_id, text, n, 0, {end.replace('@', '0')} FROM d WHERE {first}
+    UNION ALL SELECT doc_id, text, n, s, {end.replace('@', 's')} FROM (SELECT doc_id, text, n, {step} AS s FROM w) WHERE s < n),
+    c AS (SELECT doc_id, s, {shown} AS e, {strip('substr(text, s + 1, e - s)')} AS chunk FROM w), k AS (SELECT * FROM c WHERE {keep} {short})
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_id, CAST(s AS INT) AS chunk_start, CAST(e AS INT) AS chunk_end, chunk FROM k"""
+
+
+_DOT = "CASE WHEN @ + 500 < n AND contains(substr(text, @ + 401, 100), '.') THEN @ + 401 + length(regexp_extract(substr(text, @ + 401, 100), '(?s)^(.*)\\.', 1)) ELSE @ + 500 END"
+_SENT = rf"regexp_extract(substr(text, @ + 401, 200), '(?s)^(.*[.!?。！？]{WS}+)', 1)"
+_SENT = f"CASE WHEN @ + 600 < n AND @ + 400 + length({_SENT}) > @ + 100 AND {_SENT} <> '' THEN @ + 400 + length({_SENT}) ELSE least(@ + 600, n) END"
+_BACK = "substr(text, @ + 402, 200)"
+_BACK = f"CASE WHEN @ + 600 < n AND regexp_matches({_BACK}, '[.!?。]') THEN @ + 402 + length(regexp_extract({_BACK}, '(?s)^(.*)[.!?。]', 1)) ELSE @ + 600 END"
+_FITS = "length(cur) + length(ps[i + 1]) <= 600"
+
+
+@query(
+    "documents",
+    sql=f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+    r(doc_id, ps, i, cur, chunk) AS (SELECT doc_id, ps, 0, '', CAST(NULL AS VARCHAR) FROM p WHERE len(ps) > 0 UNION ALL
+    SELECT doc_id, ps, i + 1, CASE WHEN cur = '' THEN ps[i + 1] WHEN {_FITS} THEN cur || chr(10) || chr(10) || ps[i + 1] ELSE CASE WHEN length(cur) > 100 THEN substr(cur, length(cur) - 99) ELSE cur END || chr(10) || chr(10) || ps[i + 1] END,
+    CASE WHEN NOT {_FITS} AND length(cur) >= 50 THEN cur END FROM r WHERE i < len(ps)),
+    e AS (SELECT doc_id, i, chunk FROM r WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, i + 1, cur FROM r WHERE i = len(ps) AND length(cur) >= 50)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_id, chunk FROM e""",
+)
 def chunk_paragraph(documents):
-    """Chunks of packed paragraphs (checked on fixtures)."""
+    """Chunks of packed paragraphs."""
     out = chunk.pack_paragraphs(F.col("text"), 600, 100, 50, "\n")
     return documents.where("text is not null").select("doc_id", F.posexplode(out).alias("chunk_id", "chunk"))
 
 
-@query("documents")
+@query("documents", sql=_windows(_DOT, 500, 100, "n >= 50", "length(chunk) >= 50", "least(e, n)", "") + " UNION ALL SELECT doc_id, 0, 0, CAST(n AS INT), text FROM d WHERE n < 50")
 def chunk_window(documents):
-    """Chunks of character windows (checked on fixtures)."""
+    """Chunks of character windows."""
     return chunk.chunked(documents, "doc_id", "text", chunk.window_chunks, size=500, overlap=100)
 
 
-@query("documents")
+@query("documents", sql=_windows(_SENT, 600, 100, "true", "chunk <> ''", "e"))
 def chunk_sentence(documents):
-    """Chunks of windows that end at sentences (checked on fixtures)."""
+    """Chunks of windows that end at sentences."""
     return chunk.chunked(documents, "doc_id", "text", chunk.sentence_chunks, size=600, overlap=100)
 
 
-@query("documents")
+@query("documents", sql=_windows(_BACK, 600, 100, "true", "chunk <> ''", "e"))
 def chunk_scan_back(documents):
-    """Chunks of windows that end at the nearest sentence character (checked on fixtures)."""
+    """Chunks of windows that end at the nearest sentence character."""
     return chunk.chunked(documents, "doc_id", "text", chunk.scan_back_chunks, size=600, overlap=100)
