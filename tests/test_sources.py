@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webspark.operators import provider, report
 from webspark.plans import presets
 from webspark.sources import serp
-from webspark.sources.store import Store, load_state, save_state
+from webspark.sources.store import Store, load_state, save_report, save_state
 from webspark.streaming import ingest
 
 BING = """<ol><li class="b_algo"><h2><a href="https://a.test/1">First title</a></h2><div class="b_caption"><p>First text</p></div></li>
@@ -115,3 +115,34 @@ def test_files(spark, tmp_path):
     assert files.records(spark, str(tmp_path / "d"), "a array<string>").first().a == ["1", "é"]
     assert files.texts(spark, str(tmp_path / "d")).count() == 1
     assert files.sizes(spark, str(tmp_path / "d")).first().n_files == 1
+
+
+def test_store_keeps_metadata_and_clears(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("u1", "x", "T", datetime(2024, 1, 1), ["a"]), ("u2", "y", None, datetime(2024, 1, 1), [])], "url string, text string, title string, created_at timestamp, urls array<string>")
+    s.save_processed(rows.drop("urls"), "text")
+    s.save_analysis(rows, "text", "urls")
+    got = {r.url: (r.metadata, r.has_urls) for r in s.stage("analyzed").collect()}
+    assert got == {"u1": ('{"url":"u1","title":"T"}', True), "u2": ('{"url":"u2"}', False)}
+    assert s.stage("extracted").where("processed_at is not null").count() == 2
+    s.export(str(tmp_path / "out"), "analyzed")
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    s.clean("general", datetime(2023, 1, 1))
+    assert s.catalog().count() == 4 and not (tmp_path / "store" / "pages_new").exists()
+    s.clean_all()
+    assert s.stage("raw") is None
+    assert save_report("# x", str(tmp_path), "news", "a.md", {"task": "t"}).endswith("reports/news/a.md") and (tmp_path / "task.json").exists()
+
+
+def test_provider_keeps_the_good_prompts_of_a_failing_batch(spark):
+    def make():
+        def answer(prompts):
+            if "bad" in prompts:
+                raise ValueError("no answer")
+            return [p.upper() for p in prompts]
+
+        return answer
+
+    df = spark.createDataFrame([("good",), ("bad",), ("fine",)], "p string").coalesce(1)
+    got = {r.p: (r.answer, r.answer_ok, r.answer_error) for r in provider.ask(df, "p", make).collect()}
+    assert got == {"good": ("GOOD", True, None), "fine": ("FINE", True, None), "bad": (None, False, "ValueError: no answer")}

@@ -25,10 +25,11 @@ def cut(text: Column, size: int) -> Column:
 
 
 def ask(df: DataFrame, prompt: str, make: Callable[[], Provider], model: str = "rules", system: str = "", cache: DataFrame | None = None, retries: int = 3) -> DataFrame:
-    """``df`` with ``answer``, ``answer_ok`` and ``from_cache``.
+    """``df`` with ``answer``, ``answer_ok``, ``answer_error`` and ``from_cache``.
 
     ``make`` is called once a partition and gives the provider (one client a partition);
-    ``cache`` has ``(cache_key, response)``.  A failing provider gives ``answer_ok`` false.
+    ``cache`` has ``(cache_key, response)``.  A batch that fails is asked prompt by prompt, each
+    up to ``retries`` times; one that fails to the end has ``answer_ok`` false and the error.
     """
     keyed = df.withColumn("cache_key", cache_key(model, system, F.col(prompt)))
     asked = keyed.groupBy("cache_key").agg(F.first(prompt).alias("prompt"))
@@ -40,15 +41,20 @@ def ask(df: DataFrame, prompt: str, make: Callable[[], Provider], model: str = "
         provider = make()
         for pdf in batches:
             prompts = ["" if p is None else p for p in pdf["prompt"]]
-            answers: list[str | None] = [None] * len(prompts)
-            for _ in range(retries):
-                try:
-                    answers = list(provider(prompts))
-                    break
-                except Exception:  # noqa: BLE001 - a provider may fail in any way
-                    continue
-            yield pd.DataFrame({"cache_key": pdf["cache_key"], "answer": answers})
-
-    fresh = asked.mapInPandas(run, "cache_key string, answer string").withColumn("from_cache", F.lit(False))
-    both = fresh if known is None else fresh.unionByName(known.withColumn("from_cache", F.lit(True)))
+            errors: list[str | None] = [None] * len(prompts)
+            try:
+                answers = list(provider(prompts))
+            except Exception:  # noqa: BLE001 - a provider may fail in any way
+                answers = [None] * len(prompts)
+                for i, p in enumerate(prompts):
+                    for _ in range(retries):
+                        try:
+                            answers[i], errors[i] = provider([p])[0], None
+                            break
+                        except Exception as e:  # noqa: BLE001
+                            errors[i] = f"{type(e).__name__}: {e}"[:500]
+            yield pd.DataFrame({"cache_key": pdf["cache_key"], "answer": answers, "answer_error": errors})
+
+    fresh = asked.mapInPandas(run, "cache_key string, answer string, answer_error string").withColumn("from_cache", F.lit(False))
+    both = fresh if known is None else fresh.unionByName(known.withColumn("from_cache", F.lit(True)).withColumn("answer_error", F.lit(None).cast("string")))
     return keyed.join(both, "cache_key", "left").withColumn("answer_ok", F.col("answer").isNotNull())

@@ -30,6 +30,12 @@ def urls_text(urls: Column, shown: int = 10) -> Column:
     return F.when(F.size(urls) > 0, F.concat(F.lit("**推荐访问 / Recommended URLs**:\n\n"), F.array_join(lines, "\n"), more, F.lit("\n"))).otherwise("")
 
 
+def data_text(rollup: DataFrame) -> DataFrame:
+    """Markdown lines of extracted values by key ``(key, line)``: ten values shown of all counted."""
+    more = F.when(F.col("n_values") > F.size("shown"), F.concat(F.lit(" ("), F.col("n_values").cast("string"), F.lit(" total)"))).otherwise("")
+    return rollup.select("key", F.concat(F.lit("- **"), F.col("key"), F.lit("**: "), F.array_join("shown", ", "), more).alias("line"))
+
+
 def page_section(pages: DataFrame) -> DataFrame:
     """Markdown of each page ``(analysis_id, section)``; one row a page, rendered in parallel."""
     score = F.format_string("%.2f", F.coalesce("relevance_score", F.lit(0.0)))
@@ -44,16 +50,20 @@ def page_section(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_report(summary: dict, sections: DataFrame, folder: str, name: str, top: int = 100, formats: tuple[str, ...] = ("markdown", "json")) -> list[str]:
-    """Render the ``top`` sections of a report to files; the whole stays a table."""
+def write_report(
+    summary: dict, sections: DataFrame, folder: str, name: str, top: int = 100, formats: tuple[str, ...] = ("markdown", "json"), rollup: DataFrame | None = None, footer: str = "*Generated automatically*"
+) -> list[str]:
+    """Render the ``top`` sections of a report to files, with the roll-up of extracted values
+    (as many keys) and a footer; the whole stays a table."""
     rows = sections.orderBy("rank").limit(top).collect()
+    data = [r["line"] for r in data_text(rollup).orderBy("key").limit(top).collect()] if rollup is not None else []
     folder_path = Path(folder)
     folder_path.mkdir(parents=True, exist_ok=True)
     out = []
     if "markdown" in formats:
         head = "\n".join(f"- **{k}**: {v}" for k, v in summary.items())
         path = folder_path / f"{name}.md"
-        path.write_text("# Crawl report\n\n" + head + "\n\n" + "\n---\n\n".join(r["section"] for r in rows), encoding="utf-8")
+        path.write_text("# Crawl report\n\n" + head + "\n\n" + "\n---\n\n".join(r["section"] for r in rows) + ("\n\n## Data\n\n" + "\n".join(data) if data else "") + f"\n\n---\n\n{footer}\n", encoding="utf-8")
         out.append(str(path))
     if "json" in formats:
         path = folder_path / f"{name}.json"

@@ -146,9 +146,21 @@ def keyword_top5(documents):
     return k.orderBy(F.desc("n"), "first", "keyword").limit(5).select("keyword", "n")
 
 
-@query("analysis_results")
+_NL = "chr(10)"
+_URLS = f"""list_transform(prioritized_urls[1:10], lambda u: '- [' || CASE coalesce(u.priority, 2) WHEN 1 THEN '{report.PRIORITY_LABELS[1]}' WHEN 2 THEN '{report.PRIORITY_LABELS[2]}' WHEN 3 THEN '{report.PRIORITY_LABELS[3]}' ELSE '中 / Medium' END
+    || '] ' || coalesce(u.url, '') || CASE WHEN coalesce(u.reason, '') <> '' THEN {_NL} || '  - 原因: ' || u.reason ELSE '' END)"""
+
+
+@query(
+    "analysis_results",
+    sql=f"""SELECT analysis_id, '### ' || coalesce(url, '') || {_NL} || {_NL} || '- **相关性 / Relevance**: ' || CASE WHEN isnan(relevance_score) THEN 'NaN' ELSE printf('%.2f', coalesce(relevance_score, 0.0)) END || {_NL} || {_NL}
+    || CASE WHEN coalesce(summary, '') <> '' THEN '**摘要 / Summary**:' || {_NL} || {_NL} || '> ' || summary || {_NL} || {_NL} ELSE '' END
+    || CASE WHEN len(key_findings) > 0 THEN '**关键发现 / Key Findings**:' || {_NL} || {_NL} || array_to_string(list_transform(key_findings, lambda x, i: i || '. ' || coalesce(x, '')), {_NL}) || {_NL} ELSE '' END
+    || CASE WHEN len(prioritized_urls) > 0 THEN '**推荐访问 / Recommended URLs**:' || {_NL} || {_NL} || array_to_string({_URLS}, {_NL}) || CASE WHEN len(prioritized_urls) > 10 THEN {_NL} || '- ... (' || (len(prioritized_urls) - 10) || ' more URLs)' ELSE '' END || {_NL} ELSE '' END AS section
+    FROM analysis_results WHERE success""",
+)
 def report_sections(analysis_results):
-    """Markdown sections of pages (checked on fixtures)."""
+    """Markdown sections of pages."""
     return report.page_section(analysis_results.where("success"))
 
 

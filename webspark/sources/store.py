@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 from pyspark.sql.utils import AnalysisException
 
 STAGES = ("raw", "extracted", "analyzed", "reports")
@@ -47,12 +51,58 @@ class Store:
     def catalog(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/pages").select("url", "stage", "category", "content_hash", "created_at")
 
+    def save_processed(self, df: DataFrame, text: str, category: str = "general") -> None:
+        """Extracted rows with the time of processing and their metadata as one JSON text."""
+        self.save(self._described(df, text, "processed_at"), "extracted", text, category)
+
+    def save_analysis(self, df: DataFrame, result: str, urls: str, category: str = "general") -> None:
+        """Analysed rows with the time of analysis and whether they recommend urls."""
+        rows = self._described(df, result, "analyzed_at").withColumn("has_urls", F.coalesce(F.size(urls) > 0, F.lit(False)))
+        self.save(rows, "analyzed", result, category)
+
+    def _described(self, df: DataFrame, content: str, at: str) -> DataFrame:
+        plain = [c for c in df.columns if c not in (content, "created_at") and not isinstance(df.schema[c].dataType, (ArrayType, MapType, StructType))]
+        return df.withColumn(at, F.col("created_at")).withColumn("metadata", F.to_json(F.struct(*plain)))
+
+    def export(self, path: str, stage: str | None = None) -> None:
+        """The catalog, of one stage or all, as JSON lines."""
+        rows = self.catalog()
+        (rows if stage is None else rows.where(F.col("stage") == stage)).write.mode("overwrite").json(path)
+
     def clean(self, category: str, before) -> None:
-        """Drop rows of a category older than ``before``: kept rows are written anew, then swapped in."""
+        """Drop rows of a category older than ``before``."""
         rows = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/pages")
-        kept = rows.where(~((F.col("category") == category) & (F.col("created_at") < F.lit(before))))
-        kept.write.mode("overwrite").partitionBy("stage").parquet(f"{self.root}/pages_new")
-        self.spark.read.parquet(f"{self.root}/pages_new").write.mode("overwrite").partitionBy("stage").parquet(f"{self.root}/pages")
+        self._swap(rows.where(~((F.col("category") == category) & (F.col("created_at") < F.lit(before)))))
+
+    def clean_all(self) -> None:
+        """Drop every row of every stage."""
+        self._fs().delete(self._path("pages"), True)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+
+    def _fs(self):
+        return self._path("pages").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _swap(self, kept: DataFrame) -> None:
+        """Write the rows kept beside the table, then exchange the folders by renames: readers
+        find the old table or the new one, and a failed write leaves the old one as it is."""
+        fs = self._fs()
+        fs.delete(self._path("pages_new"), True)
+        kept.write.partitionBy("stage").parquet(f"{self.root}/pages_new")
+        fs.delete(self._path("pages_old"), True)
+        fs.rename(self._path("pages"), self._path("pages_old"))
+        fs.rename(self._path("pages_new"), self._path("pages"))
+        fs.delete(self._path("pages_old"), True)
+
+
+def save_report(text: str, root: str, category: str, name: str, task: dict) -> str:
+    """A report in its category's folder, and the task's description beside the folders."""
+    folder = Path(root) / "reports" / category
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text(text, encoding="utf-8")
+    (Path(root) / "task.json").write_text(json.dumps(task, ensure_ascii=False, default=str), encoding="utf-8")
+    return str(folder / name)
 
 
 def save_state(df: DataFrame, root: str, name: str) -> None:
