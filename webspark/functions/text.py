@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space as Python sees it, in a form Java and RE2 read alike.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS_BUT_SPACE = WS.replace(r"\s", r"\t\n\f\r")
 WORD = r"[\p{L}\p{N}_]"
 
 
@@ -15,7 +16,9 @@ def strip(t: Column) -> Column:
 
 
 def collapse(t: Column) -> Column:
-    return strip(F.regexp_replace(t, f"{WS}+", " "))
+    # Lone spaces, most of all white space, are left as they are; afterwards only spaces are
+    # left to trim.
+    return F.trim(F.regexp_replace(t, f" *{_WS_BUT_SPACE}{WS}*|  +", " "))
 
 
 def clean(t: Column, c1: bool = False) -> Column:

@@ -149,10 +149,6 @@ def filename_unique(documents):
 # -- Pages ----------------------------------------------------------------------------------
 
 
-def drop(t: str, tag: str) -> str:
-    return f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-
-
 def strip_tags(t: str) -> str:
     return f"regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 
@@ -162,8 +158,7 @@ def unescape(t: str) -> str:
 
 
 def page_text_sql(t: str) -> str:
-    kept = reduce(drop, H.DROPPED, f"regexp_replace(coalesce({t}, ''), '(?s)<!--.*?-->', ' ', 'g')")
-    return collapse(unescape(strip_tags(kept)))
+    return collapse(unescape(f"regexp_replace(regexp_replace(coalesce({t}, ''), '{H.DROP_ALL}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"))
 
 
 def first_of(p: str) -> str:
