@@ -35,7 +35,10 @@ MONTHS = (
     "janeiro fevereiro março maio junho julho setembro outubro novembro dezembro "
     "января февраля марта апреля мая июня июля августа сентября октября ноября декабря"
 ).split()
-_MONTH = re.compile(r"(?<=0\s)(?:de\s)?(?:" + "|".join(MONTHS) + r")\b|\b(?:" + "|".join(MONTHS) + r")(?=\s0)")
+_MONTHS = frozenset(MONTHS)
+# A month behind a number, found from the number; and a word before one, if it is a month.
+_MONTH_AFTER = re.compile(r"(0\s)(?:de\s)?(?:" + "|".join(MONTHS) + r")\b")
+_WORD_BEFORE = re.compile(r"\b[^\W\d_]+(?=\s0)")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(?:dialog|alertdialog|navigation|banner|contentinfo|complementary|search|menu)", re.I)
 _COPYRIGHT = re.compile(r"^©\s*(?:[0-9]+\s*)?")
 _CJK = re.compile("[㐀-鿿]")
@@ -74,8 +77,10 @@ def brand_of(page: dom.Page) -> str:
 def mask(norm: str, brand: str) -> str:
     if len(brand) > 1:
         norm = norm.replace(brand, "§")
-    if "0 " in norm or " 0" in norm:
-        norm = _MONTH.sub("µ", norm)
+    if "0 " in norm:
+        norm = _MONTH_AFTER.sub(r"\1µ", norm)
+    if " 0" in norm:
+        norm = _WORD_BEFORE.sub(lambda m: "µ" if m[0] in _MONTHS else m[0], norm)
     return norm
 
 
