@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import dom
 from .common import staged
-from .mainbody import Body, clean_bodies, page_bodies
+from .mainbody import Body, clean_bodies, n_words, page_bodies
 from .neardup import WordHashes, mixed
 
 SHINGLE = 5
@@ -75,60 +75,78 @@ _WHOLE = frozenset("undefined null nan oops! oops error ??? tbd todo n/a".split(
 _LITERALS = [p.strip() for line in PHRASES.strip().split("\n") for p in line.split("|") if p.strip()]
 
 
+# Words of the usual Latin filler.
+_LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation"
+    " ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat"
+    " cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
+)
+# Every filler line of some length holds one of the longer words.
+_FILLER_SIGNS = tuple(w for w in sorted(_LATIN) if len(w) >= 6)
+_FILLER = frozenset(w + mark for w in _LATIN for mark in ("", ".", ",", ";", "...", "…", "!", "?"))
+
+
 def _matcher():
-    """Whether a normalised line holds a phrase; an automaton where the library is there."""
-    literals = [dom.digits0(p) for p in _LITERALS]
+    """What a text holds: 1 for a phrase, 2 for a sign of filler, 3 for both.  One pass of an
+    automaton where the library is there, else one search a word."""
+    literals = [*((dom.digits0(p), 1) for p in _LITERALS), *((w, 2) for w in _FILLER_SIGNS)]
     try:
         import ahocorasick
     except ImportError:
-        return lambda text: any(p in text for p in literals)
+        return lambda text: max((v for p, v in literals if v == 1 and p in text), default=0) | max((v for p, v in literals if v == 2 and p in text), default=0)
     automaton = ahocorasick.Automaton()
-    for p in literals:
-        automaton.add_word(p, 1)
+    for p, v in literals:
+        automaton.add_word(p, v | automaton.get(p, 0))
     automaton.make_automaton()
-    return lambda text: next(automaton.iter(text), None) is not None
 
+    def held(text: str) -> int:
+        out = 0
+        for _, v in automaton.iter(text):
+            out |= v
+            if out == 3:
+                break
+        return out
+
+    return held
 
-_has_phrase = None
+
+_held = None
+
+
+def holds(text: str) -> int:
+    """Of normalised text: 1 a phrase, 2 a sign of filler."""
+    global _held
+    if _held is None:
+        _held = _matcher()
+    return _held(text)
 
 
 def has_phrase(norm: str) -> bool:
-    global _has_phrase
-    if _has_phrase is None:
-        _has_phrase = _matcher()
-    return norm in _WHOLE or _has_phrase(norm)
+    return norm in _WHOLE or bool(holds(norm) & 1)
 
 
-# Words of the usual Latin filler.
-_LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation"
-    " ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat"
-    " cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-)
-_FILLER = frozenset(w + mark for w in _LATIN for mark in ("", ".", ",", ";", "...", "…", "!", "?"))
 _SCRIPTS = re.compile("javascript|script", re.I)
 _STOPS = frozenset(".!?…。！？")
 _OPEN_SIGN = re.compile(r"[{}%\[\]_<X]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 
 
-def is_residue(norm: str, ws: list[str], maybe: bool = True) -> bool:
+def is_residue(norm: str, ws: list[str]) -> bool:
     """Whether a line is an error message, a notice or filler; a line of more than ``SHORT``
-    words by the words of the sentences that hold a phrase.  ``maybe`` is false where the page
-    is known to hold no phrase."""
-    if maybe and has_phrase(norm):
+    words by the words of the sentences that hold a phrase."""
+    if has_phrase(norm):
         if len(ws) <= SHORT:
             return True
         if sum(len(dom.words(x)) for x in _SENTENCE.split(norm) if has_phrase(x)) >= MIN_SHARE * len(ws):
             return True
-    return len(ws) >= 4 and sum(map(_FILLER.__contains__, ws)) >= 0.6 * len(ws)
+    return len(ws) >= 4 and sum(map(_FILLER.__contains__, ws)) >= 0.6 * len(ws) and bool(holds(norm) & 2)
 
 
 def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
     """Words * 8 + heading * 4 + residue phrase * 2 + placeholder of each line; notes of the page."""
     page = body.page
     out = []
-    maybe = has_phrase("\n".join(body.norms)) or not _WHOLE.isdisjoint(body.norms)
+    maybe = holds("\n".join(body.norms)) or not _WHOLE.isdisjoint(body.norms)
     for j in use:
         k = body.lines[j]
         node, text, _ = page.lines[k]
@@ -138,9 +156,8 @@ def _features(body: Body, use: list[int]) -> tuple[list[int], int]:
             if sample:
                 open_text = open_text.replace(sample, " ")
         held = 1 if _OPEN_SIGN.search(open_text) and _PLACEHOLDER.search(open_text) else 0
-        ws = dom.words(norm)
-        phrase = 1 if is_residue(norm, ws, maybe) else 0
-        out.append(len(ws) * 8 + (page.tag[node] in dom.HEADINGS) * 4 + phrase * 2 + held)
+        phrase = 1 if maybe and is_residue(norm, dom.words(norm)) else 0
+        out.append(n_words(norm) * 8 + (page.tag[node] in dom.HEADINGS) * 4 + phrase * 2 + held)
     notes = 1 if _PLACEHOLDER.search(page.title) else 0
     if any(_SCRIPTS.search(t) for t in page.noscript):
         notes |= 2
@@ -195,6 +212,7 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for pdf in batches:
         rows = []
+        made: dict[str, tuple[np.ndarray, int]] = {}  # equal bodies of a batch are sketched once
         for fetch_id, lines, extra, notes in zip(pdf["fetch_id"], pdf["lines"], pdf["extra"], pdf["notes"]):
             extra = [int(x) for x in extra]
             total = sum(x // 8 for x in extra)
@@ -208,8 +226,10 @@ def _sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 label = ""
             text = "\n".join([line for line, x in zip(lines, extra) if not x & 4] or lines)
-            sh = runs(text, hashes)
-            rows.append((fetch_id, label, text, sketch(sh), len(sh)))
+            if text not in made:
+                sh = runs(text, hashes)
+                made[text] = (sketch(sh), len(sh))
+            rows.append((fetch_id, label, text, *made[text]))
         yield pd.DataFrame(rows, columns=["fetch_id", "label", "text", "sketch", "n_runs"])
 
 
