@@ -69,6 +69,12 @@ def description(html: Column) -> Column:
     return F.coalesce(_first(html, r"(?is)<meta[^>]*name=[\"']description[\"'][^>]*content=[\"']([^\"']*)"), F.lit(""))
 
 
+def meta(html: Column, *names: str) -> Column:
+    """Content of the first meta element of one of the names (or properties); '' without one."""
+    listed = "|".join(n.replace(".", r"\.") for n in names)
+    return F.coalesce(_first(html, rf"(?is)<meta[^>]*(?:name|property)=[\"']?(?:{listed})[\"']?[^>]*content=[\"']([^\"']*)"), F.lit(""))
+
+
 def emails(t: Column, cap: int | None = 20) -> Column:
     found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(EMAIL), 0)))
     return F.slice(found, 1, cap) if cap else found

@@ -38,3 +38,18 @@ def running_rank(df: DataFrame, keys: list[str], order: str, width: int = 1_000_
     starts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
     return rows.join(starts, [*keys, "_part"]).withColumn(rank, F.col("_start") + inside).drop("_part", "_start")
+
+
+def numbered(df: DataFrame, parts: list[Column], order: list[Column], name: str) -> DataFrame:
+    """Number of each row, from 1, in the order of ``parts`` and then ``order``.
+
+    Rows are numbered inside each combination of ``parts`` and the counts before it are added,
+    so the whole table is never sorted in one task; only the counts of the parts are.
+    """
+    keys = [f"_part{i}" for i in range(len(parts))]
+    rows = df.select("*", *(c.alias(k) for c, k in zip(parts, keys)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.join(starts, keys).withColumn(name, F.col("_start") + inside).drop("_start", *keys)

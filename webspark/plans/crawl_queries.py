@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..functions import url as U
 from ..functions import values as V
 from ..operators import dedup, frontier, links, score
-from ..operators.rank import rank_score, source_order, top_per, SOURCE_ORDER
+from ..operators.rank import numbered, rank_score, source_order, top_per, SOURCE_ORDER
 from ..sources.tables import fetched, hybrid
 from .registry import query
 from .url_queries import ALLOWED, EXTENSIONS, PATTERNS, _BARE, any_in, host, part, sql_class, sql_norm, sql_reason
@@ -54,13 +54,14 @@ _SEEDKEY = f"lower(replace({part('url', 2)}, 'www.', '') || regexp_replace(regex
 )
 def seed_dedup_sort(seed_urls):
     """Seeds once by key, in order of source, relevance and rank."""
-    from pyspark.sql import Window
-
     rows = seed_urls.where("url is not null").select("url", "title", "source", "seed_rank", "relevance_score").distinct().withColumn("seed_key", U.seed_key(F.col("url")))
     one = dedup.first_by(rows, ["seed_key"], "seed_rank", "source", "url", "title", "relevance_score")
-    # The list of seeds of a crawl is short; its total order is one sort.
-    w = Window.orderBy(source_order(F.coalesce("source", F.lit(""))), F.desc_nulls_last("relevance_score"), "seed_rank", "seed_key")
-    return one.select("seed_key", "url", "source", "seed_rank", F.row_number().over(w).cast("bigint").alias("seed_no"))
+    # Parts are the sources and hundredths of relevance (from high to low, nulls last), so few.
+    score = F.col("relevance_score")
+    hundredth = F.when(score.isNull(), 1_000_000).otherwise(-F.least(F.greatest(F.floor(score * 100), F.lit(-1000)), F.lit(100_000))).cast("bigint")
+    parts = [source_order(F.coalesce("source", F.lit(""))), hundredth]
+    out = numbered(one, parts, [F.desc_nulls_last("relevance_score"), F.col("seed_rank"), F.col("seed_key")], "seed_no")
+    return out.select("seed_key", "url", "source", "seed_rank", "seed_no")
 
 
 @query("seed_urls", sql="SELECT DISTINCT url, source, seed_rank, round(1 - (seed_rank - 1) * CAST(0.08 AS DOUBLE), 6) AS api_score, round(1 - (seed_rank - 1) * CAST(0.1 AS DOUBLE), 6) AS lite_score, round(0.8 - seed_rank * CAST(0.05 AS DOUBLE), 6) AS fallback_score, CASE WHEN source = 'original' OR seed_rank <= 3 THEN 1 ELSE 2 END AS priority FROM seed_urls WHERE url IS NOT NULL")

@@ -82,7 +82,8 @@ def format_duration(fetch_results):
 @query(
     "analysis_results",
     sql="""SELECT count(*) AS total_pages, count(*) FILTER (WHERE success) AS successful_pages, count(*) - count(*) FILTER (WHERE success) AS failed_pages, CAST(coalesce(sum(len(prioritized_urls)), 0) AS BIGINT) AS total_urls_found,
-    CAST(count(extracted_data) AS BIGINT) AS total_data_extracted, round(coalesce(count(*) FILTER (WHERE success) * 100.0 / nullif(count(*), 0), 0), 1) AS success_rate, min(analysed_at) AS start_time, max(analysed_at) AS end_time FROM analysis_results""",
+    CAST(count(extracted_data) AS BIGINT) AS total_data_extracted, round(coalesce(count(*) FILTER (WHERE success) * 100.0 / nullif(count(*), 0), 0), 1) AS success_rate, min(analysed_at) AS start_time, max(analysed_at) AS end_time,
+    CAST(floor((epoch_us(max(analysed_at)) - epoch_us(min(analysed_at))) / 1000000.0) AS BIGINT) AS duration_seconds FROM analysis_results""",
 )
 def crawl_summary(analysis_results):
     """Totals of a run in one pass."""
@@ -94,6 +95,7 @@ def crawl_summary(analysis_results):
         F.count("extracted_data").alias("total_data_extracted"),
         F.min("analysed_at").alias("start_time"),
         F.max("analysed_at").alias("end_time"),
+        F.timestamp_diff("SECOND", F.min("analysed_at"), F.max("analysed_at")).alias("duration_seconds"),
     )
     return a.withColumn("failed_pages", F.col("total_pages") - F.col("successful_pages")).withColumn("success_rate", V.percent(F.col("successful_pages"), F.col("total_pages")))
 

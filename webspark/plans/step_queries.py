@@ -16,7 +16,7 @@ from ..functions import values as V
 from ..operators import dedup
 from ..operators.rank import top_per
 from .registry import query
-from .text_queries import _namer, page_text_sql
+from .text_queries import W, _namer, first_of, page_text_sql
 from .url_queries import PATTERNS, any_in, host, part, sql_class
 
 # -- Answers of models ------------------------------------------------------------------------
@@ -562,3 +562,48 @@ def summary_report(analysis_results, fetch_results):
     best = a.orderBy(F.desc("s"), "analysis_id").limit(10).agg(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("m"), "analysis_id", "url"))).alias("x"))
     top = numbered(best).select(*line(4, F.col("no"), F.concat(F.lit("### ["), F.substring(F.col("x.url"), 1, 50), F.lit("]("), F.col("x.url"), F.lit(") "), F.format_string("%.2f", -F.col("x.m")))))
     return raw.unionAll(done).unionAll(cats).unionAll(facts).unionAll(top)
+
+
+# -- Names and metadata besides ---------------------------------------------------------------------
+
+_CLEAN = f"regexp_replace(substr(regexp_replace(regexp_replace(coalesce(answer, ''), '[^{W}-]', '_', 'g'), '_+', '_', 'g'), 1, 30), '^_+|_+$', '', 'g')"
+
+
+@query(
+    "documents",
+    sql=f"""WITH d AS (SELECT doc_id, category, title, CASE WHEN doc_id % 3 <> 0 THEN substr(text, 1, 60) END AS answer FROM documents), n AS (SELECT doc_id, category, title, {_CLEAN} AS n FROM d)
+    SELECT doc_id, CASE WHEN n <> '' THEN n ELSE concat_ws('_', category, substr(md5(coalesce(title, '')), 1, 8)) END AS name FROM n""",
+)
+def llm_filenames(documents):
+    """Names made of a model's answers (here the beginnings of two texts of three); category and
+    a hash of the title where there is no answer."""
+    answer = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 60))
+    return documents.select("doc_id", T.llm_name(answer, F.col("category"), F.col("title")).alias("name"))
+
+
+@query(
+    "seed_urls",
+    sql="""WITH d AS (SELECT DISTINCT url, coalesce(CAST(seed_rank AS VARCHAR), title) AS p FROM seed_urls WHERE url IS NOT NULL)
+    SELECT url, p, greatest(1, least(3, CASE WHEN regexp_matches(p, '^[0-9]+$') THEN TRY_CAST(p AS INT) ELSE 3 END)) AS priority FROM d""",
+)
+def priority_strings(seed_urls):
+    """Priorities given as text: digits are numbers, all else is the lowest, then between 1 and 3."""
+    d = seed_urls.where("url is not null").select("url", F.coalesce(F.col("seed_rank").cast("string"), "title").alias("p")).distinct()
+    return d.select("url", "p", V.clamp_priority(F.col("p")).alias("priority"))
+
+
+def _meta_sql(*names: str) -> str:
+    return f"coalesce({first_of('(?is)<meta[^>]*(?:name|property)=[' + chr(34) + chr(39) + ']?(?:' + '|'.join(n.replace('.', chr(92) + '.') for n in names) + ')[' + chr(34) + chr(39) + ']?[^>]*content=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)')}, '')"
+
+
+@query(
+    "fetch_results",
+    sql=f"""WITH r AS (SELECT fetch_id, html FROM fetch_results UNION ALL SELECT -1, '<head><meta name="author" content="A. Bell"><META property=og:site_name content=''The Site''><meta property="article:published_time" content="2024-05-01"></head>' FROM (SELECT 1 FROM fetch_results LIMIT 1))
+    SELECT fetch_id, {_meta_sql('author')} AS author, {_meta_sql('article:published_time', 'date')} AS date, {_meta_sql('og:site_name')} AS sitename FROM r""",
+)
+def page_meta(fetch_results):
+    """Author, date and site name of each page; one written page stands for those that have them."""
+    example = """<head><meta name="author" content="A. Bell"><META property=og:site_name content='The Site'><meta property="article:published_time" content="2024-05-01"></head>"""
+    rows = fetch_results.select("fetch_id", "html").unionAll(fetch_results.limit(1).select(F.lit(-1).cast("bigint"), F.lit(example)))
+    h = F.col("html")
+    return rows.select("fetch_id", H.meta(h, "author").alias("author"), H.meta(h, "article:published_time", "date").alias("date"), H.meta(h, "og:site_name").alias("sitename"))
