@@ -58,7 +58,7 @@ def seed_dedup_sort(seed_urls):
     one = dedup.first_by(rows, ["seed_key"], "seed_rank", "source", "url", "title", "relevance_score")
     # Parts are the sources and hundredths of relevance (from high to low, nulls last), so few.
     score = F.col("relevance_score")
-    hundredth = F.when(score.isNull(), 1_000_000).otherwise(-F.least(F.greatest(F.floor(score * 100), F.lit(-1000)), F.lit(100_000))).cast("bigint")
+    hundredth = F.when(score.isNull(), 1_000_000).when(F.isnan(score), -1_000_000).otherwise(-F.least(F.greatest(F.floor(score * 100), F.lit(-1000)), F.lit(100_000))).cast("bigint")
     parts = [source_order(F.coalesce("source", F.lit(""))), hundredth]
     out = numbered(one, parts, [F.desc_nulls_last("relevance_score"), F.col("seed_rank"), F.col("seed_key")], "seed_no")
     return out.select("seed_key", "url", "source", "seed_rank", "seed_no")
