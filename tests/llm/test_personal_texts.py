@@ -50,3 +50,9 @@ def test_items_at_any_place_of_a_long_text(tagger):
     for n in (10, 11, 12, 13, 24, 25, 26, 60):
         text = filler * n + "write to anna.bell@uni.test or ask Anna Velmann, who lives at 12 Heron Road, Ostfeld. " + filler * 20
         assert [k for _, _, k in tagger.items([text])[0]] == ["email", "name", "address"]
+
+
+def test_comments_keep_their_markup(tagger):
+    html = '<p>x</p><!-- <a href="/b">a &amp; b</a> write to anna.bell@uni.test <br> --><p title="a < b &quot;c&quot;, mail anna.bell@uni.test">y</p>'
+    want = '<p>x</p><!-- <a href="/b">a &amp; b</a> write to [EMAIL] <br> --><p title="a &lt; b &quot;c&quot;, mail [EMAIL]">y</p>'
+    assert personal.replace_html(tagger, [html]) == [want]

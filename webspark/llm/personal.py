@@ -188,7 +188,7 @@ Selon {N}, le centre ferme tôt. | D’après {N}, rien ne change. | Écrivez à
 Филиал {V} получил программу. | В {V} кафедра открыла курс. | Между {V} и {V} ходит автобус. | Редакция {V} | Мы используем файлы cookie. Принять | Читайте также | Поделиться страницей | Годовой отчёт: отдел практики | Последнее обновление: 18.8.2025
 本周热门 | 开学周以来，教务处评估实验室开放日，并建议中学教师自备测量工具。 | 六月以来，档案馆调整课程目录。 | 一周内提交 | 每周一开放 | 周末活动 | 国王路站 | 高年级学生 | 马上报名 | 金融学院举办讲座 | 石油工程 | 方法与成果 | 白天开放 | 温室建成 | 汪洋与江河 | 本周推荐 | 上周活动 | 两周以后 | 校园周刊 | 周边交通
 WORDS: STAFF WRITERS, {X} | A RESIDÊNCIA ESTUDANTIL: O ARQUIVO | BY THE {X} NEWSROOM | ZULETZT GEÄNDERT AM 12.12.2020 | SOIL SCIENCE: SEASONAL PORTFOLIO | AVISO LEGAL | LA BECA DE MOVILIDAD: EL DEPARTAMENTO | RELATED ARTICLES | LE CENTRE DE LANGUES | Words: staff writers, {X} | #sale_lamps, #best-chairs 20, rugs deal, #top_visas, hotels quote, #affordable
-The record still shows {I} next to {E}. | {N} kept the number {P}. | Contacte con {N}, teléfono {P}. | Guardian {N} (tel. {P}), {A}. | Звоните {P}. | Ask {E} <now>. | Ask {E}. | Ask {E} or {N}. | {E} | See {E}, or {E} > | ({E}) | Use {E} | mail to {E} | by {E} | {X} {E} | {9} {E} | {P}, {E} | {N}, {E} | {N} {E} {P} | Contact {E} | Duplicate: {I} = {E}. | {I} = {E} | {I} = {E}; {P}
+The record still shows {I} next to {E}. | {N} kept the number {P}. | Numbers: {P} / {P}. | Numbers: {P} / {P}. | {N} moved to {A} and kept the number {P}. | Guardian {N} (tel. {P}), {A}. | Emergency contact: {N} / {P} / {A}. | Contacte con {N}, teléfono {P}. | Guardian {N} (tel. {P}), {A}. | Звоните {P}. | Ask {E} <now>. | Ask {E}. | Ask {E} or {N}. | {E} | See {E}, or {E} > | ({E}) | Use {E} | mail to {E} | by {E} | {X} {E} | {9} {E} | {P}, {E} | {N}, {E} | {N} {E} {P} | Contact {E} | Duplicate: {I} = {E}. | {I} = {E} | {I} = {E}; {P}
 Campus | Home | News | Library | Contact | Research | Admissions | Campus life | Jobs | {X} | {X} | {X} | {X} University | Visit {X} | Home {X} | Startseite | Bibliothek | Becas | Noticias | Inicio | Actualités | Notícias | Новости | 首页 | 新闻 | 图书馆 | Related | Tags | Share
 lamps no-fee ${9}.46 SKU{9} | tents near-me $109.77 SKU48884 | vintage lamps $67.46 SKU8136 | cheap desks $9.20 SKU12345 | sofas free-shipping $220.67 SKU61695 | ZULETZT GEÄNDERT AM 18.8.2025 | LAST UPDATED 12 MAY 2024 | Stand: 3.11.2021 | 16 May 2023 | 12/5/2020 | {9} | 4857 shares | Shared 4857 times today | Rated 4 of 5
 Ð£Ñ‡ÐµÐ±Ð½Ð°Ñ Ð¿Ñ€Ð°ÐºÑ‚Ð¸ÐºÐ° | Ð ÐµÐ´Ð°ÐºÑ†Ð¸Ñ {X} | Ð“Ð¾Ð´ 2024 | РЅРёРµ СЌРєР·Р°РјРµРЅ | ¿¼£¬×ªÔØÇë | ±¾Ò³ÄÚÈÝ½ö | VerÃ¤nderung 24 | 2 mÃ©tiers | дёЂдёЄ
@@ -324,7 +324,7 @@ def train(names: dict[str, str], epochs: int = 45, rate: float = 0.12, l2: float
     bad = np.zeros((K, K), bool)
     for b in range(2, K, 2):
         bad[:, b] = True
-        bad[b - 1, b] = bad[b, b] = False
+        bad[b - 1, b] = bad[b, b] = b == 2  # an address is one token
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(trans), np.zeros_like(trans)]
     step = 0
     for _ in range(epochs):
@@ -497,7 +497,7 @@ def check(text: str, kind: str) -> bool:
     if kind == "id_number":
         return 6 <= digits <= 20 and not re.search(r"[$=@]|[^\W\d_]{3}", text)
     if kind == "address":
-        return digits >= 1 and len(text) >= 7 and re.search(r"[^\W\d_]{2}", text) is not None and not re.search(r"[$€#ÃÂÐÑ]|\b(?:is|number|charity)\b", text, re.I)
+        return digits >= 1 and len(text) >= 7 and re.search(r"[^\W\d_]{2}", text) is not None and not re.search(r"[$€#ÃÂÐÑ�]|\b(?:is|number|charity)\b", text, re.I)
     if re.search("[^\\w .,’'-]|[ÃÂÐ]|Р[^а-я]", text):
         return False
     if digits or len(text) < 2 or "@" in text:
@@ -526,11 +526,12 @@ _SCHEME = re.compile(r"(mailto|tel|sms):", re.I)
 class Unit:
     """A text of a page that is read as one: the runs of text between two block tags, an
     attribute's value, or a comment.  ``parts`` are (start, end, text): where the part stands
-    in the page and its text with entities decoded."""
+    in the page and its text with entities decoded.  ``attribute`` is None for comments, which
+    are read as they are."""
 
     __slots__ = ("parts", "attribute", "text")
 
-    def __init__(self, parts: list[tuple[int, int, str]], attribute: bool = False) -> None:
+    def __init__(self, parts: list[tuple[int, int, str]], attribute: bool | None = False) -> None:
         self.parts, self.attribute = parts, attribute
         self.text = parts[0][2] if len(parts) == 1 else "".join(p[2] for p in parts)
 
@@ -555,9 +556,8 @@ def units(html: str) -> list[Unit]:
             if run:
                 out.append(Unit(run))
                 run = []
-            run = [(a + 4, b - 3 if html.endswith("-->", a, b) else b, "")]
-            out.append(Unit([(run[0][0], run[0][1], unescape(html[run[0][0] : run[0][1]]))]))
-            run = []
+            inner = a + 4, b - 3 if html.endswith("-->", a, b) else b
+            out.append(Unit([(*inner, html[inner[0] : inner[1]])], None))
             continue
         if run and not _INLINE_TAG.match(html, a):
             out.append(Unit(run))
@@ -686,7 +686,7 @@ def replace_html(tagger: Tagger, pages: list[str]) -> list[str]:
                     first = False
         for (s, e, old), new in zip(unit.parts, parts):
             if old != new:
-                edits[k].append((s, e, new if "&" not in pages[k][s:e] and "<" not in new else escape(new, quote=unit.attribute)))
+                edits[k].append((s, e, new if unit.attribute is None or "&" not in pages[k][s:e] else escape(new, quote=unit.attribute)))
     out = []
     for html, es in zip(pages, edits):
         for s, e, new in sorted(es, reverse=True):
