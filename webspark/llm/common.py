@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, DataFrame]] = []
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -42,14 +42,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/webspark-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _staged.append((spark, path, back))
+    return back
 
 
-def release() -> None:
-    """Delete what was staged so far; call it when the results have been written."""
-    while _staged:
-        spark, path = _staged.pop()
+def release(*tables: DataFrame) -> None:
+    """Delete what was staged so far; call it when the results have been written.
+
+    With ``tables`` only these go: staged ones that nothing lazy reads any more.
+    """
+    gone = [x for x in _staged if not tables or any(x[2] is t for t in tables)]
+    _staged[:] = [x for x in _staged if not any(x is y for y in gone)]
+    for spark, path, _ in reversed(gone):
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,10 +1,13 @@
-"""Near-duplicate pages by a MinHash LSH forest (problem 1).
+"""Near-duplicate pages by MinHash buckets that are searched where they lie (problem 1).
 
-Each distinct main body gets a signature of ``TREES`` labels of ``DEPTH`` MinHashes, two bytes
-each.  A label is the path in one trie of the forest; bodies that share a path are candidates,
-met by ``ROUGH`` MinHashes and verified exactly on their three-word sequences.  ``DEPTH`` is the greatest at which a pair of
-``MIN_SIMILARITY`` itself is met with a chance of ``TARGET``, so the recall does not depend on
-how similar the other pairs of the crawl are.  Longer paths would find a part of the same pairs.
+Each distinct main body gets a signature of ``HASHES`` MinHashes of two bytes.  It goes, with a
+sketch of ``WINDOW`` further MinHashes of a byte, into ``KEYS`` buckets, one for the value of
+each of as many MinHashes.  Inside a bucket bodies that agree on four MinHashes of one of the
+``TABLES`` and on ``AGREE`` of the sketch are candidates; only these leave the bucket, and they
+are verified exactly on their three-word sequences.  Bodies that merely share phrases meet in
+numbers that grow as the square of the crawl: they are compared in memory and never written.
+A pair of ``MIN_SIMILARITY`` itself is met with a chance of at least ``TARGET`` (see
+``tests/llm/test_pages.py``), so the recall does not depend on how similar the other pairs are.
 
 Equal bodies are one class; only classes are compared, and pairs of records are made at the
 end, since the query lists them all.  Null or empty html and bodies under ``MIN_WORDS``
@@ -22,32 +25,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import dom
-from .common import staged
+from .common import release, staged
 from .mainbody import clean_bodies, page_bodies
 
 MIN_WORDS = 60
 SHINGLE = 3
 MIN_SIMILARITY = 0.5
-TREES = 74
 TARGET = 0.99
-
-
-def chance(similarity: float, depth: int) -> float:
-    """That two bodies share a path of ``depth`` MinHashes in at least one tree."""
-    return 1 - (1 - similarity**depth) ** TREES
-
-
-DEPTH = max(d for d in range(1, 9) if chance(MIN_SIMILARITY, d) >= TARGET)
-#: Candidates that agree on fewer than ``ROUGH_AGREE`` of ``ROUGH`` MinHashes are no pair: at
-#: ``MIN_SIMILARITY`` 64 are expected and so few have a chance below 0.00001.
-ROUGH = 128
-ROUGH_AGREE = 40
-#: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
+HASHES = 296
+#: A body's buckets; the MinHashes that name them are the last ones of a signature, sketches
+#: are windows of the others.
+KEYS = 12
+WINDOW = 96
+STEP = (HASHES - KEYS - WINDOW) // (KEYS - 1)
+#: Places in a sketch whose four bytes make the label of a table.
+TABLES = np.array([np.sort(np.random.RandomState(5 + t).permutation(WINDOW)[:4]) for t in range(32)])
+#: At ``MIN_SIMILARITY`` 50 are expected beside an agreeing label and fewer than 40 have a chance of 0.03,
+#: in one of the six buckets that such a pair shares on average.
+AGREE = 40
+#: Rows of whole buckets, and pairs, that are worked on at once.
+AT_ONCE = 100_000
+#: Ids up to this many are broadcast (two numbers each); more are joined by a shuffle.
 FEW_IDS = 500_000
 
 _RNG = np.random.RandomState(7)
-_MUL = _RNG.randint(0, 2**31, TREES * DEPTH, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-_ADD = _RNG.randint(0, 2**32, TREES * DEPTH, dtype=np.int64).astype(np.uint32)
+_MUL = _RNG.randint(0, 2**31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.randint(0, 2**32, HASHES, dtype=np.int64).astype(np.uint32)
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -83,7 +86,7 @@ def shingles(ws: list[str], k: int, hashes: WordHashes) -> np.ndarray:
 
 
 def signature(sh: np.ndarray) -> bytes:
-    """``TREES * DEPTH`` MinHashes of two bytes: all the low bytes, then all the high ones."""
+    """``HASHES`` MinHashes of two bytes: all the low bytes, then all the high ones."""
     with np.errstate(over="ignore"):
         least = ((sh >> np.uint64(32)).astype(np.uint32)[:, None] * _MUL + _ADD).min(axis=0)
         two = (least.astype(np.uint64) * _C3) >> np.uint64(48)
@@ -106,9 +109,12 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signed_bodies(fetch: DataFrame) -> DataFrame:
-    """``(fetch_id, body, text, sig)`` of each record; ``body`` names its set of sequences."""
-    bodies = clean_bodies(staged(page_bodies(fetch), "bodies"))
-    return bodies.select("fetch_id", "lines").mapInPandas(_signatures, "fetch_id bigint, body bigint, text string, sig binary")
+    """Staged ``(fetch_id, body, text, sig)`` of each record; ``body`` names its set of sequences."""
+    bodies = staged(page_bodies(fetch), "bodies")
+    signed = clean_bodies(bodies).select("fetch_id", "lines").mapInPandas(_signatures, "fetch_id bigint, body bigint, text string, sig binary")
+    signed = staged(signed, "signed")
+    release(bodies)
+    return signed
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,34 +137,94 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "similarity": out})
 
 
-def _roughly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, ROUGH) for c in ("sig_a", "sig_b"))
-            yield pdf.loc[(x == y).sum(axis=1) >= ROUGH_AGREE, ["a", "b"]]
+def bucket_pairs(key: np.ndarray, body: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates ``(a, b)``, a < b, among rows of whole buckets; each once a bucket."""
+    shared = np.zeros(len(key), bool)
+    shared[1:] = key[1:] == key[:-1]
+    shared[:-1] |= shared[1:]
+    key, body, sketch = key[shared], body[shared], sketch[shared]
+    bucket = key.astype(np.int64).astype(np.uint64) << np.uint64(32)
+    for t, places in enumerate(TABLES):
+        label = bucket | np.ascontiguousarray(sketch[:, places]).view(np.uint32).ravel()
+        order = np.argsort(label)
+        label = label[order]
+        at, off = np.arange(len(label) - 1), 1
+        while len(at := at[label[at] == label[at + off]]):
+            for k in range(0, len(at), AT_ONCE):
+                x, y = order[at[k : k + AT_ONCE]], order[at[k : k + AT_ONCE] + off]
+                same = sketch[x] == sketch[y]
+                met = np.flatnonzero(same.sum(axis=1) >= AGREE)
+                if t:  # an earlier table had the rest
+                    met = met[~same[met][:, TABLES[:t]].all(axis=2).any(axis=1)]
+                a, b = body[x[met]], body[y[met]]
+                met = a != b
+                yield np.minimum(a, b)[met], np.maximum(a, b)[met]
+            off += 1
+            at = at[at + off < len(label)]
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates of buckets that come in the order of their keys; a bucket is held as a whole."""
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held.append((pdf["key"].to_numpy(), pdf["body"].to_numpy(), np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, WINDOW)))
+            if sum(len(x[0]) for x in held) >= AT_ONCE and held[0][0][0] != held[-1][0][-1]:
+                key, body, sketch = map(np.concatenate, zip(*held))
+                whole = np.searchsorted(key, key[-1])
+                held = [(key[whole:], body[whole:], sketch[whole:].copy())]
+                yield key[:whole], body[:whole], sketch[:whole]
+        if held:
+            yield tuple(map(np.concatenate, zip(*held)))
+
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for part in parts():
+        for ab in bucket_pairs(*part):
+            found.append(ab)
+            n += len(ab[0])
+            if n >= AT_ONCE:
+                yield pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*found)))))
+                found, n = [], 0
+    if found:
+        yield pd.DataFrame(dict(zip("ab", map(np.concatenate, zip(*found)))))
+
+
+def _only(df: DataFrame, ids: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` whose id is among ``ids``; broadcast only after the ids are counted."""
+    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, columns, "left_semi")
 
 
-def _only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose id is among ``ids``; broadcast only after the ids are counted."""
-    return df.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, column, "left_semi")
+def _once(signed: DataFrame, first: DataFrame) -> DataFrame:
+    """Rows of ``signed`` that are in ``first``; where few are or few are not, these few move."""
+    ids = ["body", "fetch_id"]
+    n, kept = signed.count(), first.count()
+    if n - kept <= min(kept, FEW_IDS):
+        return signed.join(F.broadcast(signed.select(ids).join(first, ids, "left_anti")), ids, "left_anti")
+    return _only(signed, first, ids)
 
 
 def similar_classes(signed: DataFrame) -> DataFrame:
     """Pairs of different bodies ``(a, b, similarity)`` of at least ``MIN_SIMILARITY``."""
     # One record stands for each body; equal bodies differ at most in the order of repeats.
-    first = signed.groupBy("body").agg(F.min("fetch_id").alias("fetch_id"))
-    one = staged(signed.join(first, ["body", "fetch_id"], "left_semi").select("body", "sig", "text"), "classes")
-    label = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)),
-        lambda t: F.xxhash64(t, *(F.substring("sig", t * DEPTH + 1 + at, F.lit(DEPTH)) for at in (0, TREES * DEPTH))),
+    first = staged(signed.groupBy("body").agg(F.min("fetch_id").alias("fetch_id")), "classes")
+    buckets = F.array(
+        *(
+            F.struct(
+                F.hash(F.lit(k), F.substring("sig", HASHES - KEYS + k + 1, 1), F.substring("sig", 2 * HASHES - KEYS + k + 1, 1)).alias("key"),
+                F.substring("sig", k * STEP + 1, WINDOW).alias("sketch"),
+            )
+            for k in range(KEYS)
+        )
     )
-    trie = one.select("body", F.explode(label).alias("node"))
-    pairs = trie.select("node", F.col("body").alias("a")).join(trie.select("node", F.col("body").alias("b")), "node").where("a < b").select("a", "b").distinct()
-    rough = one.select("body", F.substring("sig", 1, ROUGH).alias("sig"))
-    pairs = pairs.join(rough.select(F.col("body").alias("a"), F.col("sig").alias("sig_a")), "a").join(rough.select(F.col("body").alias("b"), F.col("sig").alias("sig_b")), "b")
-    pairs = staged(pairs.mapInPandas(_roughly, "a bigint, b bigint"), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct()
-    texts = _only(one.select("body", "text"), ids, "body")
+    rows = _once(signed.select("body", "fetch_id", "sig"), first).select("body", F.explode(buckets).alias("x")).select("x.key", "body", "x.sketch")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInPandas(_met, "a bigint, b bigint")
+    pairs = staged(pairs.distinct(), "candidates")
+    ids = first.join(pairs.select(F.explode(F.array("a", "b")).alias("body")).distinct(), "body", "left_semi")
+    texts = _only(signed.select("body", "fetch_id", "text"), ids, ["body", "fetch_id"])
     both = pairs.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -167,7 +233,7 @@ def similar_classes(signed: DataFrame) -> DataFrame:
 
 def found(fetch: DataFrame) -> DataFrame:
     """All pairs of records whose main bodies agree (p1_found)."""
-    signed = staged(signed_bodies(fetch), "signed")
+    signed = signed_bodies(fetch)
     members = signed.select("fetch_id", "body")
     links = similar_classes(signed).select("a", "b").unionAll(members.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select(F.col("body").alias("a"), F.col("body").alias("b")))
     pairs = links.join(members.select(F.col("body").alias("a"), F.col("fetch_id").alias("x")), "a").join(members.select(F.col("body").alias("b"), F.col("fetch_id").alias("y")), "b")
@@ -178,7 +244,7 @@ def found(fetch: DataFrame) -> DataFrame:
 def classes(fetch: DataFrame) -> DataFrame:
     """One row a record with a body of enough words: ``(fetch_id, class_id, n_links)``; records
     of one class have equal bodies, ``n_links`` counts the other classes that agree with it."""
-    signed = staged(signed_bodies(fetch), "signed")
+    signed = signed_bodies(fetch)
     links = similar_classes(signed).select(F.explode(F.array("a", "b")).alias("body")).groupBy("body").agg(F.count("*").alias("n_links"))
     names = signed.groupBy("body").agg(F.min("fetch_id").alias("class_id"))
     return signed.select("fetch_id", "body").join(names, "body").join(links, "body", "left").select(
